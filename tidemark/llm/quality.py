@@ -70,15 +70,16 @@ def host_rates(rows: DataFrame, host: str = "source") -> DataFrame:
     return hosts.withColumn("host_rate", rate).drop("_p")
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, host: str = "source") -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, host: str = "source", keep_text: bool = False) -> DataFrame:
     """``docs`` with the base measures, ``base_failed``, the host's shrunk failure rate and the verdict ``kept``.
 
     A document is kept if it passes the base rules and its host is not rejected. Null hosts are one host; rows
     that repeat are each judged; an empty table gives no rows. Columns that clash with a measure's name are
-    replaced by it. Texts are read once: the measures go to the shared folder, and hosts are summed from there.
+    replaced by it. Texts are read once: the measures go to the shared folder, and hosts are summed from there. Texts are in the result only if asked for.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_docs", "host_failed", "host_rate", "kept", "_words", "_lines", "_h", "_s", "_at", "_p", "_host"}
     docs = docs.drop(*(c for c in docs.columns if c in made))
-    rows = Cut(spark, "quality")(measures(docs).withColumn("base_failed", base_failed()).drop("text"))
+    rows = measures(docs).withColumn("base_failed", base_failed())
+    rows = Cut(spark, "quality")(rows if keep_text else rows.drop("text"))
     rates = host_rates(rows, host).withColumnRenamed(host, "_host")
     return rows.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= MAX_HOST_RATE))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality, secrets, sharding, simhash, suffixes
+from . import embeddings, mixing, pieces, quality, secrets, sharding, simhash, suffixes, transcripts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +19,21 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    out = transcripts.render(transcripts.parse_roles(spark, turns.select("conv_id", "turn", "text"), transcripts.fit(turns)))
+    return out.select("conv_id", "turn", "role_found", "rendered")
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
