@@ -19,8 +19,9 @@ from .common import Cut
 SPACE = "▁"
 #: Entries after which a worker's caches start afresh; they only save time.
 CACHE = 400_000
-#: Pre-tokens whose counts are broadcast, and the longest of them in characters; the others are joined.
-HOT, HOT_CHARS = 50_000, 48
+#: A pre-token is frequent if it makes up at least this part of all; so there are no more than the inverse of it.
+#: Frequent ones of no more than HOT_CHARS characters have their counts broadcast; the others are joined.
+HOT, HOT_CHARS = 1 / 800_000, 48
 MAX_TOKENS = 4096
 
 
@@ -255,15 +256,17 @@ def vocabulary(texts: DataFrame, model: bytes) -> DataFrame:
 def count_tokens(spark: SparkSession, docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each whole text, without the ids of any text.
 
-    Distinct pre-tokens are counted once and joined to each document's pre-token frequencies. Counts of the most
-    frequent ``HOT`` pre-tokens (of ``HOT_CHARS`` characters or fewer, so of bounded size) are broadcast, which
+    Distinct pre-tokens are counted once and joined to each document's pre-token frequencies. Counts of frequent
+    pre-tokens (1 / HOT of them at most, whatever the input, and of bounded length) are broadcast, which
     sums most of a text where it is read; the frequencies of all others are joined with the whole vocabulary, so
     that no frequent pre-token is gathered anywhere. A null text counts as an empty one. Rows that repeat are
     counted each; an empty table gives no rows; other columns are ignored.
     """
     cut, model = Cut(spark, "tokens"), Path(path).read_bytes()
     words = cut(vocabulary(docs, model))
-    hot = spark.sparkContext.broadcast({x.piece: x.n_tokens for x in words.where(F.length("piece") <= HOT_CHARS).orderBy(F.desc("n"), "piece").limit(HOT).select("piece", "n_tokens").collect()})
+    least = (words.agg(F.sum("n")).head()[0] or 0) * HOT
+    often = words.where((F.col("n") >= least) & (F.length("piece") <= HOT_CHARS)).select("piece", "n_tokens").collect()  # at most 1 / HOT rows
+    hot = spark.sparkContext.broadcast({x.piece: x.n_tokens for x in often})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, known, key = codec(model), hot.value, TaskContext.get().partitionId() << 36
