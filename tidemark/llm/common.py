@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,8 @@ class Cut:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        gc.collect()  # plans that are gone let Spark remove their shuffle files
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cut_path = path
         return out

@@ -17,9 +17,9 @@ LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM
 #: Different surroundings of one anchor that a task sorts together; more are first told apart by longer strings.
-GROUP = 128
-#: Window starts before an anchor that are handled together, in each round of telling apart.
-WIDTHS = (SPAN + 1, 24, 4, 1)
+GROUP = 1536
+#: Window starts that are handled together, in each round of telling the anchors of larger groups apart.
+WIDTHS = (57, 8, 1)
 #: Depth to which suffixes are sorted by multikey quicksort before blind tries take over.
 SHALLOW = 48
 BLOCK = 1 << 19
@@ -257,16 +257,23 @@ def repeated_levels(sub: np.ndarray, left: list[bytes], right: list[bytes], low:
         orders.append((np.array(order), np.array(near)))
     (by_left, lcp_left), (by_right, lcp_right) = orders
     n_left, n_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    # no window of an anchor repeats beyond the most that it shares with a neighbour on each side
+    most = np.zeros((2, n), np.int64)
+    for side, (order, near) in enumerate(orders):
+        most[side, order] = np.maximum(near, np.append(near[1:], -1))
+    begin, end = np.maximum(low, LENGTH - most[1]), np.minimum(high, most[0])
     first, last = np.full(n, -1), np.full(n, -1)
     a, b = np.empty(n, np.int64), np.empty(n, np.int64)
     for level in range(low, high + 1):
+        ok = np.flatnonzero((begin <= level) & (level <= end) & (n_left >= level) & (n_right >= LENGTH - level))
+        if len(ok) < 2:
+            continue
         a[by_left] = np.cumsum(lcp_left < level)
         b[by_right] = np.cumsum(lcp_right < LENGTH - level)
-        ok = np.flatnonzero((n_left >= level) & (n_right >= LENGTH - level))
         both = a[ok] * (n + 1) + b[ok]
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         same = both[order][1:] == both[order][:-1]
-        hit = ok[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
+        hit = ok[order[np.append(same, False) | np.concatenate([[False], same])]]
         last[hit] = level
         hit = hit[first[hit] < 0]
         first[hit] = level
@@ -274,21 +281,27 @@ def repeated_levels(sub: np.ndarray, left: list[bytes], right: list[bytes], low:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key, ctx, n, left, bytes`` of anchors ``wanted(rid, key, ctx, n, pos, right)``: the surroundings themselves."""
+    """``key, ctx, n, k, left, bytes`` of anchors ``wanted(rid, key, ctx, n, k, pos, right)``: the surroundings themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                raw, rows = batch.column(0)[i].as_py().encode(), batch.column(1)[i].as_py()
-                out = [(r["key"], r["ctx"], r["n"], min(r["pos"], SPAN), raw[max(0, r["pos"] - SPAN) : r["pos"] + r["right"]]) for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "ctx", "n", "left", "bytes"])
-
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "ctx", "n", "pos", "right")).alias("rows"))  # no more than a text has anchors
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                texts, lists = part.column(0).to_pylist(), part.column(1)
+                owner = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()[: len(part) + 1]))
+                rows = lists.flatten()
+                key, ctx, n, k, pos, right = (rows.field(x) for x in ("key", "ctx", "n", "k", "pos", "right"))
+                raw = [t.encode() for t in texts]
+                p, r = pos.to_numpy(), right.to_numpy()
+                around = [raw[i][a:b] for i, a, b in zip(owner.tolist(), np.maximum(p - SPAN, 0).tolist(), (p + r).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([key, ctx, n, k, pa.array(np.minimum(p, SPAN).astype(np.int32)), pa.array(around, pa.binary())], ["key", "ctx", "n", "k", "left", "bytes"])
+
+    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "ctx", "n", "k", "pos", "right")).alias("rows"))  # no more than a text has anchors
     one = docs.select(_rid().alias("rid"), "doc_id", "text")
     holder = docs.select(_rid().alias("r"), "doc_id").groupBy("r").agg(F.min(F.struct("doc_id")).alias("d"))
     lists = lists.join(holder, F.col("rid") == F.col("r")).select("rid", "rows", F.col("d.doc_id").alias("_d"))
     found = one.join(lists, "rid").where(F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "rows")
-    return found.mapInArrow(run, "key long, ctx long, n long, left int, bytes binary")
+    return found.mapInArrow(run, "key long, ctx long, n long, k long, left int, bytes binary")
 
 
 def _rid() -> F.Column:
@@ -296,48 +309,50 @@ def _rid() -> F.Column:
 
 
 def _zones(rows: DataFrame, width: int) -> DataFrame:
-    """Of each context, for each run of ``width`` levels within its own: ``sub``, what the run's windows have in common, and ``zone``, all that they cover.
+    """Of each context, for each run of ``width`` levels within its own: ``sub``, what the run's windows have in common, and ``zone``, all that they cover, both as hashes.
 
-    ``rows(key, ctx, n, left, bytes, low, high)``; the result has low and high of the run, and the zone's bytes.
+    ``rows(key, ctx, n, left, bytes, low, high)``; the result has low and high of the run, and in first and last
+    those of its levels that the context has windows for.
     """
+    names = ["sub", "zone", "key", "ctx", "n", "low", "high", "first", "last"]
+    types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
         for batch in batches:
-            for start in range(0, len(batch), 2000):
+            for start in range(0, len(batch), 5000):
                 out = []
-                for key, ctx, n, left, raw, low, high in zip(*(c.to_pylist() for c in batch.slice(start, 2000).columns), strict=True):
+                for key, ctx, n, left, raw, low, high in zip(*(c.to_pylist() for c in batch.slice(start, 5000).columns), strict=True):
                     right = len(raw) - left
                     for a in range(low, high + 1, width):
                         b = min(a + width - 1, high)
                         if b < LENGTH - right or a > left:
                             continue
-                        z0, z1 = max(0, left - b), min(len(raw), left + LENGTH - a)
+                        z0 = max(0, left - b)
                         core = raw[max(0, left - a) : left + LENGTH - b]
-                        zone = raw[z0:z1]
-                        out.append((xxh3_128_digest(core, (key ^ a) & (2**64 - 1)), xxh3_64_intdigest(zone, left - z0) - 2**63, key, ctx, n, left - z0, zone, a, b))
-                types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+                        zone = raw[z0 : left + LENGTH - a]
+                        out.append((xxh3_128_digest(core, (key ^ a) & (2**64 - 1)), xxh3_64_intdigest(zone, left - z0) - 2**63, key, ctx, n, a, b, max(a, LENGTH - right), min(b, left)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["sub", "zone", "key", "ctx", "n", "left", "bytes", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return rows.select("key", "ctx", "n", "left", "bytes", "low", "high").mapInArrow(run, "sub binary, zone long, key long, ctx long, n long, left int, bytes binary, low int, high int")
+    return rows.select("key", "ctx", "n", "left", "bytes", "low", "high").mapInArrow(run, "sub binary, zone long, key long, ctx long, n long, low int, high int, first int, last int")
 
 
 def _sorted_groups(rows: DataFrame) -> DataFrame:
-    """``sub, zone, first, last``: levels at which zones repeat one another, group by group; a group has GROUP zones at most."""
+    """``sub, zone, first, last``: levels at which ``rows(sub, zone, left, bytes, low, high)`` of a group repeat one another; a group has GROUP rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done(own: list[tuple]) -> pa.RecordBatch:
-            _, number = np.unique(np.array([r[0] for r in own], object), return_inverse=True)
+            sub = [r[0] for r in own]
+            number = np.cumsum([0, *(x != y for x, y in zip(sub, sub[1:], strict=False))])
             first, last = np.full(len(own), -1), np.full(len(own), -1)
             runs = np.array([(r[4], r[5]) for r in own])
             for low, high in np.unique(runs, axis=0).tolist():
                 at = np.flatnonzero((runs[:, 0] == low) & (runs[:, 1] == high))
-                f, g = repeated_levels(number[at], [own[i][3][: own[i][2]][::-1] for i in at], [own[i][3][own[i][2] :] for i in at], low, high)
-                first[at], last[at] = f, g
+                first[at], last[at] = repeated_levels(number[at], [own[i][3][: own[i][2]][::-1] for i in at], [own[i][3][own[i][2] :] for i in at], low, high)
             hit = np.flatnonzero(first >= 0)
             return pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in hit], pa.binary()), pa.array([own[i][1] for i in hit], pa.int64()), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], ["sub", "zone", "first", "last"])
 
@@ -360,41 +375,40 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, cut: Cut) -> DataFrame:
     """``rid, spans``: of texts (by MD5) with bytes to be removed, intervals that cover them."""
     n_keys = anchor_keys(docs).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     rows = cut(anchor_rows(docs).join(n_keys, "key"))
-    place = F.struct("rid", "pos", "right")
-    contexts = cut(rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(place).alias("p")))
-    several = contexts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    contexts = cut(rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "pos", "right")).alias("p")))
+    several = contexts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     # surroundings that occur twice repeat at all their levels
-    whole = [contexts.where("n > 1").select("key", "ctx", F.greatest(F.lit(0), LENGTH - F.col("p.right")).alias("first"), F.least(F.lit(SPAN), F.col("p.pos")).alias("last"))]
-    wanted = contexts.join(several, "key").select("key", "ctx", "n", "p.rid", "p.pos", "p.right")
-    open_rows = cut(_contexts(docs, wanted).withColumn("low", F.lit(0)).withColumn("high", F.lit(SPAN)))
-    first_rows = open_rows
-    for width in WIDTHS:
-        if width == WIDTHS[0]:  # one run of levels: the group is the key's, the zone all surroundings
-            key = F.to_binary(F.lpad(F.hex("key"), 16, "0"), F.lit("hex"))
-            zones = open_rows.select(key.alias("sub"), F.col("ctx").alias("zone"), "key", "ctx", "n", "left", "bytes", "low", "high")
-        else:
-            zones = cut(_zones(open_rows, width))
-        each = zones.groupBy("sub", "zone").agg(F.sum("n").alias("n"), F.first(F.struct("left", "bytes", "low", "high")).alias("z"))
-        each = each if width == WIDTHS[0] else cut(each)
-        sizes = cut(each.groupBy("sub").agg(F.count("*").alias("k")))
-        twice = each.where("n > 1").select("sub", "zone", F.greatest("z.low", LENGTH - (F.length("z.bytes") - F.col("z.left"))).alias("first"), F.least("z.high", "z.left").alias("last"))
-        few = each.join(sizes.where((F.col("k") > 1) & (F.col("k") <= GROUP)), "sub").select("sub", "zone", "z.*")
-        found = _sorted_groups(few) if width > 1 else None
-        hits = twice.where("last >= first") if found is None else twice.where("last >= first").unionByName(found)
-        hits = hits.groupBy("sub", "zone").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        whole.append(cut(zones.select("key", "ctx", "sub", "zone").join(hits, ["sub", "zone"]).select("key", "ctx", "first", "last")))
+    hits = [contexts.where("n > 1").select("key", "ctx", F.greatest(F.lit(0), LENGTH - F.col("p.right")).alias("first"), F.least(F.lit(SPAN), F.col("p.pos")).alias("last"))]
+    wanted = contexts.join(several, "key").select("key", "ctx", "n", "k", "p.rid", "p.pos", "p.right")
+    around = cut(_contexts(docs, wanted))
+    low, high = F.lit(0).alias("low"), F.lit(SPAN).alias("high")
+    key = F.to_binary(F.lpad(F.hex("key"), 16, "0"), F.lit("hex"))
+    few = around.where(F.col("k") <= GROUP).select(key.alias("sub"), F.col("ctx").alias("zone"), "left", "bytes", low, high)
+    found = cut(_sorted_groups(few))
+    hits.append(found.select(F.conv(F.hex("sub"), 16, -10).cast("long").alias("key"), F.col("zone").alias("ctx"), "first", "last"))
+    left_over = around.where(F.col("k") > GROUP).select("key", "ctx", "n", "left", "bytes", low, high)
+    for width in WIDTHS if left_over.limit(1).count() else ():
+        zones = cut(_zones(left_over, width))
+        each = zones.groupBy("sub", "zone").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("ctx").alias("ctx"), *(F.min(x).alias(x) for x in ("low", "high", "first", "last")))
+        each = cut(each)
+        sizes = cut(each.groupBy("sub").agg(F.count("*").alias("k")).where("k > 1"))
+        same = each.where("n > 1").select("sub", "zone", "first", "last")
+        if width > 1:
+            few = each.join(sizes.where(F.col("k") <= GROUP), "sub").select("sub", "zone", "key", "ctx", "low", "high")
+            few = few.join(around.select("key", "ctx", "left", "bytes"), ["key", "ctx"]).select("sub", "zone", "left", "bytes", "low", "high")
+            same = same.unionByName(_sorted_groups(few))
+        same = same.groupBy("sub", "zone").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        hits.append(cut(zones.select("key", "ctx", "sub", "zone").join(same, ["sub", "zone"]).select("key", "ctx", "first", "last")))
         many = sizes.where(F.col("k") > GROUP)
         if width == 1 or many.limit(1).count() == 0:
             break
-        left_over = zones.join(many, "sub").select("key", "ctx", F.col("low").alias("_low"), F.col("high").alias("_high"))
-        open_rows = first_rows.drop("low", "high").join(left_over, ["key", "ctx"]).withColumnsRenamed({"_low": "low", "_high": "high"})
-        open_rows = cut(open_rows)
-    hits = whole[0]
-    for more in whole[1:]:
-        hits = hits.unionByName(more)
-    hits = hits.groupBy("key", "ctx").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("last >= first")
+        left_over = zones.join(many, "sub").select("key", "ctx", "n", "low", "high").join(around.select("key", "ctx", "left", "bytes"), ["key", "ctx"])
+    out = hits[0]
+    for more in hits[1:]:
+        out = out.unionByName(more)
+    out = out.groupBy("key", "ctx").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("last >= first")
     own = F.array(F.struct((F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + LENGTH).alias("end")))
-    spans = rows.join(hits, ["key", "ctx"]).select("rid", F.explode(F.concat(own, F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")))).alias("s")).distinct()
+    spans = rows.join(out, ["key", "ctx"]).select("rid", F.explode(F.concat(own, F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")))).alias("s")).distinct()
     return spans.groupBy("rid").agg(F.collect_list("s").alias("spans"))  # no more than a text has anchors
 
 
