@@ -80,21 +80,22 @@ def components(spark: SparkSession, edges: DataFrame, cut: Cut, rounds: int = 60
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected Components in MapReduce and
     Beyond" (2014). A step joins edges with one minimum per node, so a hub's edges are never gathered in one
-    place: minima are partial aggregates, and a hot side of the join can be split. Nodes without an edge to a
+    place: minima are partial aggregates, written before they are joined, so that a hot side of the join can be split. Nodes without an edge to a
     different node are absent. Rows with a null end are ignored. Every round is written to the shared folder.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        cut.drop(low)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         new = cut(small.distinct())
-        cut.drop(large)
+        cut.drop(large, low)
         # stars: every u has one v, and no v is itself a u
         heads = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         chained = heads or new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()

@@ -190,11 +190,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed
 def mixed_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a document is taken, and ``mix_shard`` and ``mix_order``.
 
-    ``mix_order`` is a hash by which a shard's rows are to be sorted, within the shard alone.
+    ``mix_order`` is a hash by which a shard's rows are to be sorted, within the shard alone. Columns of those two
+    names in ``docs`` are replaced.
     """
-    docs = docs.drop("mix_shard", "mix_order", "_s", "_b", "_o", "_t")
+    columns = [c for c in docs.columns if c not in ("mix_shard", "mix_order")]
     cut = Cut(spark, "mixing")
     rows = cut(_keyed(docs.select("doc_id", "text", "source"), seed).withColumn("size", n_words()).drop("text"))
-    plan = _plan(spark, rows, cut, shards, seed).drop("source_size", "target")
-    out = _applied(_keyed(docs, seed), plan).select(*docs.columns, F.col("_o.h").alias("_h"), F.posexplode("mix_shards").alias("_n", "mix_shard"))
-    return out.select(*docs.columns, "mix_shard", _salt(seed, 4, F.col("_h"), F.col("_n")).alias("mix_order"))
+    plan = _plan(spark, rows, cut, shards, seed)
+    whole = docs.select(F.struct(*columns).alias("_row"), "doc_id", "text", "source")
+    out = _applied(_keyed(whole, seed), plan).select("_row", F.col("_o.h").alias("_h"), F.posexplode("mix_shards").alias("_n", "mix_shard"))
+    return out.select("_row.*", "mix_shard", _salt(seed, 4, F.col("_h"), F.col("_n")).alias("mix_order"))

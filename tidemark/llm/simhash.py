@@ -234,7 +234,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> Da
     """``docs`` without near-duplicates: of each component one row stays, that of the smallest doc_id (nulls last).
 
     If several rows of a component share that doc_id, the one of the smallest fingerprint stays, and one of those
-    that agree in this too.
+    that agree in this too. Columns whose names begin with _sh_ are dropped.
     """
     cut = Cut(spark, "simhash")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -242,14 +242,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            yield batch.append_column("_fp", pa.array([fingerprint(text[i].as_py(), shingle) for i in range(len(batch))], pa.int64()))
+            yield batch.append_column("_sh_fp", pa.array([fingerprint(text[i].as_py(), shingle) for i in range(len(batch))], pa.int64()))
 
-    docs = docs.drop("_fp")
-    rows = cut(docs.mapInArrow(run, f"{kinds}, _fp long"))
+    docs = docs.drop("_sh_fp", "_sh_id", "_sh_own")
+    rows = cut(docs.mapInArrow(run, f"{kinds}, _sh_fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    unique = cut(rows.groupBy(F.col("_fp").alias("fp")).agg(first.alias("least")))
+    unique = cut(rows.groupBy(F.col("_sh_fp").alias("fp")).agg(first.alias("least")))
     roots = components(spark, links(spark, unique, cut), cut)
     unique = unique.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    stays = cut(unique.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("s")).select(F.col("s.least.id").alias("_id"), F.col("s.fp").alias("_own")))
-    out = rows.join(stays, (F.col("_fp") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates(["_fp"]).select(*docs.columns)
+    stays = cut(unique.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("s")).select(F.col("s.least.id").alias("_sh_id"), F.col("s.fp").alias("_sh_own")))
+    out = rows.join(stays, (F.col("_sh_fp") == F.col("_sh_own")) & F.col("doc_id").eqNullSafe(F.col("_sh_id")), "left_semi")
+    return out.dropDuplicates(["_sh_fp"]).select(*docs.columns)
