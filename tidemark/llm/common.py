@@ -75,6 +75,17 @@ class Cut:
             remove(self.spark, df._cut_path)
 
 
+#: What a table may have at most to be sent to every executor.
+SMALL_ROWS, SMALL_BYTES = 100_000, 8_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if its rows and the bytes of its texts are counted and few; else as it is, to be joined by a shuffle."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).head()
+    return F.broadcast(df) if n <= SMALL_ROWS and size <= SMALL_BYTES else df
+
+
 def components(spark: SparkSession, edges: DataFrame, cut: Cut, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``, root being the smallest node reachable.
 

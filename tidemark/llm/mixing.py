@@ -9,7 +9,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, Cut
+from .common import WS, Cut, small
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -156,7 +156,7 @@ def _plan(spark: SparkSession, rows: DataFrame, cut: Cut, shards: int, seed: int
     out = blocks.select("_s", "_b", "source_size", "target", "edge")
     for more in (dealt, last):
         out = out.join(more, F.col("_s").eqNullSafe(F.col("s")) & (F.col("_b") == F.col("b")), "left").drop("s", "b")
-    return cut(out.select(F.col("_s").alias("ps"), F.col("_b").alias("pb"), "source_size", "target", "edge", F.coalesce("mix_shards", F.array().cast("array<int>")).alias("mix_shards"), "last"))
+    return small(cut(out.select(F.col("_s").alias("ps"), F.col("_b").alias("pb"), "source_size", "target", "edge", F.coalesce("mix_shards", F.array().cast("array<int>")).alias("mix_shards"), "last")))
 
 
 def _applied(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed
     table gives no rows.
 
     Rows without texts are joined with the plan by source and block, of which a source has ``BLOCKS``, so no
-    source is gathered in one task. Sources are the named parts of a mix: one row of each is in one task to
+    source is gathered in one task; a plan that is counted and small is broadcast. Sources are the named parts of a mix: one row of each is in one task to
     share the total, and on the driver to draw quotas.
     """
     cut = Cut(spark, "mixing")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, Cut
+from .common import WS, Cut, small
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -75,11 +75,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, host: str = "source", ke
 
     A document is kept if it passes the base rules and its host is not rejected. Null hosts are one host; rows
     that repeat are each judged; an empty table gives no rows. Columns that clash with a measure's name are
-    replaced by it. Texts are read once: the measures go to the shared folder, and hosts are summed from there. Texts are in the result only if asked for.
+    replaced by it. Texts are read once: the measures go to the shared folder, and hosts are summed from there. Texts are in the result only if asked for. Verdicts
+    are broadcast if they are counted and few, so that texts stay where they are.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_docs", "host_failed", "host_rate", "kept", "_words", "_lines", "_h", "_s", "_at", "_p", "_host"}
     docs = docs.drop(*(c for c in docs.columns if c in made))
     rows = measures(docs).withColumn("base_failed", base_failed())
-    rows = Cut(spark, "quality")(rows if keep_text else rows.drop("text"))
-    rates = host_rates(rows, host).withColumnRenamed(host, "_host")
+    cut = Cut(spark, "quality")
+    rows = cut(rows if keep_text else rows.drop("text"))
+    rates = small(cut(host_rates(rows, host).withColumnRenamed(host, "_host")))
     return rows.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= MAX_HOST_RATE))

@@ -244,12 +244,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> Da
             text = batch.column(batch.schema.get_field_index("text"))
             yield batch.append_column("_sh_fp", pa.array([fingerprint(text[i].as_py(), shingle) for i in range(len(batch))], pa.int64()))
 
-    docs = docs.drop("_sh_fp", "_sh_id", "_sh_own")
+    docs = docs.drop("_sh_fp", "_sh_key")
     rows = cut(docs.mapInArrow(run, f"{kinds}, _sh_fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
     unique = cut(rows.groupBy(F.col("_sh_fp").alias("fp")).agg(first.alias("least")))
     roots = components(spark, links(spark, unique, cut), cut)
     unique = unique.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    stays = cut(unique.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("s")).select(F.col("s.least.id").alias("_sh_id"), F.col("s.fp").alias("_sh_own")))
-    out = rows.join(stays, (F.col("_sh_fp") == F.col("_sh_own")) & F.col("doc_id").eqNullSafe(F.col("_sh_id")), "left_semi")
-    return out.dropDuplicates(["_sh_fp"]).select(*docs.columns)
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null/"))
+    stays = cut(unique.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("s")).select(F.col("s.fp").alias("_sh_fp"), key(F.col("s.least.id")).alias("_sh_key")))
+    # both by the same keys, so that texts are moved once
+    on = ["_sh_fp", "_sh_key"]
+    return rows.withColumn("_sh_key", key(F.col("doc_id"))).join(stays, on, "left_semi").dropDuplicates(on).select(*docs.columns)

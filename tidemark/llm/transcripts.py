@@ -145,8 +145,8 @@ def parse_roles(spark: SparkSession, turns: DataFrame, model: Model) -> DataFram
 
     Conversations are cut into segments of SEGMENT turn numbers. Each gives a matrix of best scores from the state
     before it to its last state; these few numbers are chained by conversation to find the states at the cuts, and
-    then each segment is decoded between its own. So the result is that of one pass, and no conversation's texts
-    are gathered.
+    then each segment is decoded between its own. So the states' probability is that of one pass (of states that
+    are as probable, the cuts may choose others), and no conversation's texts are gathered.
     """
     cut = Cut(spark, "transcripts")
     own = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("null/"), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.lit("/"), F.coalesce(F.col("turn").cast("string"), F.lit(""))))
