@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Days from 0001-01-01, where frames are counted from, to 1970-01-01.
@@ -71,3 +71,14 @@ def zone_to_utc(ts: Column, name: str, strict: bool = False) -> Column:
     back = lambda x: F.convert_timezone(F.lit("UTC"), F.lit(zone(name)), x)
     doubtful = (back(out) != local) | (back(out + hour) == local) | (back(out - hour) == local)
     return F.when(doubtful, F.raise_error(F.lit("local time is skipped or repeated")).cast("timestamp_ntz")).otherwise(out)
+
+
+def monotone(rows: DataFrame, time: str, part: list[str], by: list[str], name: str = "unique_time") -> DataFrame:
+    """``rows`` with times made unique and increasing in an order: each is its own time, or one more than the one before it if that is later.
+
+    With i the place in the order, that is i + max(time - i) so far: two running aggregates, not a loop.
+    """
+    order = Window.partitionBy(*part).orderBy(*by)
+    out = rows.withColumn("_i", F.row_number().over(order).cast("long"))
+    so_far = F.max(F.col(time) - F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn(name, F.col("_i") + so_far).drop("_i")

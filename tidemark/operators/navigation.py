@@ -87,3 +87,9 @@ def subscribe(s: Series, position: str, key: Column | None = None) -> Series:
 
 def metadata(s: Series) -> DataFrame:
     return s.node.observed().agg(F.count("*").alias("row_count")).select("row_count", (F.col("row_count") == 0).alias("is_empty"), F.lit(s.is_continuous).alias("is_continuous"))
+
+
+def array_index(keys: Column, key: Column) -> Column:
+    """Place of a key in a sorted array; if it is absent, the complement of the place where it would go."""
+    before = F.size(F.filter(keys, lambda k: k < key))
+    return F.when(F.array_contains(keys, key), before).otherwise(-before - 1)

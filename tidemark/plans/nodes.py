@@ -161,6 +161,30 @@ class Repeat(Node):
         return out.select(*self.on(), (F.col("_last") if self.with_key else F.col("_last.value")).alias("v"))
 
 
+@dataclass
+class Interpolate(Node):
+    """On the line between the observed values around a key; undefined outside the first and the last."""
+
+    child: Node
+
+    def __post_init__(self) -> None:
+        self.part, self.continuous = self.child.part, True
+
+    def observed(self) -> DataFrame:
+        return self.child.observed()
+
+    def at(self, keys: DataFrame) -> DataFrame:
+        have = self.child.observed().select(*self.on(), F.lit(False).alias("_asked"), F.struct(F.col("k").alias("k"), F.col("v").alias("v")).alias("_row"))
+        both = have.unionByName(keys.select(*self.on(), F.lit(True).alias("_asked")), allowMissingColumns=True)
+        w = Window.partitionBy(*self.part).orderBy("k")
+        left = F.last("_row", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+        right = F.first("_row", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+        out = both.withColumns({"_l": left, "_r": right}).where(F.col("_asked") & F.col("_l").isNotNull() & F.col("_r").isNotNull())
+        share = (F.col("k") - F.col("_l.k")) / (F.col("_r.k") - F.col("_l.k"))
+        line = F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * share
+        return out.select(*self.on(), F.when(F.col("_l.k") == F.col("_r.k"), F.col("_l.v")).otherwise(line).alias("v"))
+
+
 @dataclass
 class Zip(Node):
     """Both sides at one key, as ``v.l`` and ``v.r``.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numeric, timekeys
+from ..functions import market, numeric, timekeys
 from ..operators import navigation as nav
 from ..plans.frames import Lookup
 from ..series import Series
@@ -282,3 +282,22 @@ _compare("cmp6_not_equal", "round(v, 0) <> 30", lambda s: s.map(lambda v: F.roun
 def cmp_series(spark: SparkSession, d: str) -> DataFrame:
     s = user_series(spark, d)
     return (s < 100 - s).to_df()
+
+
+@query("nav11_binary_search", "SELECT p.user_id, p.k AS probe, (CASE WHEN bool_or(e.k = p.k) THEN count(*) FILTER (e.k < p.k) ELSE -count(*) FILTER (e.k < p.k) - 1 END)::INT AS place FROM (SELECT user_id, k + k % 2 AS k FROM e WHERE event_type = 'signup') p JOIN e ON e.user_id = p.user_id GROUP BY 1, 2")
+def nav11(spark: SparkSession, d: str) -> DataFrame:
+    arrays = user_series(spark, d).to_df().groupBy("user_id").agg(F.array_sort(F.collect_list("k")).alias("keys"))
+    probes = events(spark, d, "event_type").where("event_type = 'signup'").select("user_id", (F.col("k") + F.col("k") % 2).alias("probe")).distinct()
+    return probes.join(arrays, "user_id").select("user_id", "probe", nav.array_index(F.col("keys"), F.col("probe")).alias("place"))
+
+
+@query("str10_monotone_time", f"WITH i AS (SELECT user_id, event_id, k // {HOUR} AS h, row_number() OVER (PARTITION BY user_id ORDER BY k) AS i FROM e) SELECT event_id, i + max(h - i) OVER (PARTITION BY user_id ORDER BY i) AS unique_time FROM i")
+def str10(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d, "event_id").withColumn("h", F.floor(F.col("k") / HOUR))
+    return timekeys.monotone(rows, "h", ["user_id"], ["k"]).select("event_id", "unique_time")
+
+
+@query("mkt1_tick", "SELECT event_id, value::DECIMAL(18, 6)::DOUBLE AS price, (value * 100)::BIGINT AS money FROM events WHERE value > 0")
+def mkt1(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "events").where("value > 0").select("event_id", market.tick(F.col("ts"), F.col("value"), F.lit(100)).alias("t"))
+    return df.select("event_id", F.col("t.price").cast("double").alias("price"), F.round(market.money_volume(F.col("t.price"), F.col("t.volume"))).cast("long").alias("money"))

@@ -42,6 +42,17 @@ def con3(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "k", F.col("v.key").alias("origin"), F.col("v.value").alias("v"))
 
 
+@query(
+    "con4_interpolate",
+    """WITH c AS (SELECT * FROM e WHERE event_type = 'click'),
+    l AS (SELECT e.user_id, e.k, c.k AS lk, c.v AS lv FROM e ASOF JOIN c ON e.user_id = c.user_id AND e.k >= c.k),
+    r AS (SELECT l.*, c.k AS rk, c.v AS rv FROM l ASOF JOIN c ON l.user_id = c.user_id AND l.k <= c.k)
+    SELECT user_id, k, round(CASE WHEN lk = rk THEN lv ELSE lv + (rv - lv) * ((k - lk)::DOUBLE / (rk - lk)) END, 6) AS v FROM r""",
+)
+def con4(spark: SparkSession, d: str) -> DataFrame:
+    return type_series(spark, d, "click").interpolate().at(_clicks_at_all(spark, d)).withColumn("v", rounded("v", 6))
+
+
 @query("jon1_zip_discrete", "SELECT a.k, round(a.v, 2) AS l, b.n AS r FROM o a JOIN (SELECT epoch_us(l_shipdate) // 86400000000 AS k, count(*) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k")
 def jon1(spark: SparkSession, d: str) -> DataFrame:
     day = F.floor(timekeys.to_micros("l_shipdate") / 86_400_000_000).cast("long")

@@ -35,8 +35,12 @@ class Series:
     "append" or "readonly"; it can only become stricter.
     """
 
-    def __init__(self, node: N.Node, sorting: str = "strong", mutability: str = "mutable"):
-        self.node, self.sorting, self.mutability = node, sorting, mutability
+    def __init__(self, node: N.Node, sorting: str = "strong", mutability: str = "mutable", attributes: dict[str, Any] | None = None):
+        self.node, self.sorting, self.mutability, self.attributes = node, sorting, mutability, attributes or {}
+
+    def with_attributes(self, **attributes: Any) -> Series:
+        """The series with more attributes, such as its ``period`` (functions.market.Period); they describe it and change no result."""
+        return Series(self.node, self.sorting, self.mutability, self.attributes | attributes)
 
     # sources
     @classmethod
@@ -144,6 +148,10 @@ class Series:
     def repeat_with_key(self, block: int | None = None) -> Series:
         return Series(N.Repeat(self.node, True, block))
 
+    def interpolate(self) -> Series:
+        """Linear between observed values."""
+        return Series(N.Interpolate(self.node))
+
     # joins
     def zip(self, other: Series, f: Callable[..., Column] | None = None) -> Series:
         """Both values at each common key; f takes (left, right) or (key, left, right)."""
