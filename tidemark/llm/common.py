@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import shared_dir
+
 #: Words are maximal runs without these six ASCII white-space characters.
 WS = "\\x20\\x09-\\x0D"
 
@@ -18,35 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in local mode without it a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return _own[app]
-
-
-#: Temporary folders by application, for local sessions without spark.checkpoint.dir.
-_own: dict[str, str] = {}
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _tidy(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # noqa: BLE001  the session has ended already: nothing is left to tidy with
-        pass
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
 
 
 class Cut:
@@ -57,8 +36,10 @@ class Cut:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
-        atexit.register(_tidy, spark, self.root)
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        p, fs = _path(spark, self.root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
