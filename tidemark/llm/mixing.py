@@ -49,7 +49,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = (F.col("total") - F.col("capped")) / F.col("rest")
     out = out.withColumn("level", F.when(level * F.col("weight") <= cap, level))
     # the first source in that order that does not stop gives the level; if all stop, targets are the caps
-    out = out.withColumn("level", F.min_by("level", F.when(F.col("level").isNotNull(), cap / F.col("weight"))).over(everything))
+    out = out.withColumn("level", F.min_by("level", F.when(F.col("level").isNotNull(), F.struct(cap / F.col("weight"), "rank"))).over(everything))
     return out.select("source", "source_size", F.coalesce(F.least(F.col("level") * F.col("weight"), cap.cast("double")), cap.cast("double")).alias("target"))
 
 
