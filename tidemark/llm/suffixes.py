@@ -17,7 +17,7 @@ LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM
 #: Different surroundings of one anchor that a task sorts together; more are first told apart by longer strings.
-GROUP = 1536
+GROUP = 16_384
 #: Window starts that are handled together, in each round of telling the anchors of larger groups apart.
 WIDTHS = (57, 8, 1)
 #: Depth to which suffixes are sorted by multikey quicksort before blind tries take over.
@@ -373,10 +373,11 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, cut: Cut) -> DataFrame:
     """``rid, spans``: of texts (by MD5) with bytes to be removed, intervals that cover them."""
-    n_keys = anchor_keys(docs).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    # counts are written before they are joined, so that the many rows of one key can be split between tasks
+    n_keys = cut(anchor_keys(docs).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     rows = cut(anchor_rows(docs).join(n_keys, "key"))
     contexts = cut(rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "pos", "right")).alias("p")))
-    several = contexts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    several = cut(contexts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
     # surroundings that occur twice repeat at all their levels
     hits = [contexts.where("n > 1").select("key", "ctx", F.greatest(F.lit(0), LENGTH - F.col("p.right")).alias("first"), F.least(F.lit(SPAN), F.col("p.pos")).alias("last"))]
     wanted = contexts.join(several, "key").select("key", "ctx", "n", "k", "p.rid", "p.pos", "p.right")
