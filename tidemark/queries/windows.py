@@ -55,10 +55,10 @@ _count("win1_count_complete", 10, False)
 _count("win2_count_incomplete", 10, True)
 
 
-def _width(name: str, lookup: Lookup, sql: str) -> None:
+def _width(name: str, lookup: Lookup, sql: str, block: int | None = None) -> None:
     @query(name, sql)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = user_series(spark, d).windowed(Frame(width=W, lookup=lookup), n="count", total="sum", least="min", most="max", dev="std").to_df()
+        out = user_series(spark, d).windowed(Frame(width=W, lookup=lookup, block=block), n="count", total="sum", least="min", most="max", dev="std").to_df()
         out = _flat(out, "n", "total", "least", "most", "dev")
         return out.withColumn("total", rounded("total")).withColumn("dev", rounded("dev"))
 
@@ -66,6 +66,7 @@ def _width(name: str, lookup: Lookup, sql: str) -> None:
 _NATIVE = "SELECT user_id, k, count(*) OVER f AS n, round(sum(v) OVER f, 4) AS total, min(v) OVER f AS least, max(v) OVER f AS most, round(stddev_samp(v) OVER f, 4) AS dev FROM e WINDOW f AS ({} RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
 _GROUPED = "WITH {} SELECT user_id, k, count(*) AS n, round(sum(vv), 4) AS total, min(vv) AS least, max(vv) AS most, round(stddev_samp(vv), 4) AS dev FROM g GROUP BY user_id, k"
 _width("win3_width_le", Lookup.LE, _NATIVE.format(_BY, W))
+_width("win3_width_le_blocks", Lookup.LE, _NATIVE.format(_BY, W), 4 * W)
 _width("win4_width_lt", Lookup.LT, _NATIVE.format(_BY, W - 1))
 _width("win5_width_ge", Lookup.GE, _GROUPED.format(_left("<=")))
 _width("win6_width_gt", Lookup.GT, _GROUPED.format(_left("<")))
