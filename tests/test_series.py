@@ -225,3 +225,18 @@ def test_null_values_are_not_missing(spark):
     s = Series.from_pairs(spark, [(1, 1.0), (3, None)])
     assert at(s.repeat(), spark, 2, 4) == {2: 1.0, 4: None}
     assert at(s.fill(9.0), spark, 3, 4) == {3: None, 4: 9.0}
+
+
+def test_regression_on_several_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.column_stack([np.ones(60), rng.normal(size=(60, 2))])
+    y = 0.33 + 0.25 * x[:, 1] + 1.5 * x[:, 2] + rng.normal(size=60) * 0.1
+    rows = [(i, (float(b), [float(v) for v in a])) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    s = Series.of(spark.createDataFrame(rows, "k long, v struct<y:double,x:array<double>>"), "k", "v")
+    got = {r["k"]: r["beta"] for r in moving.regression_many(s, 3, 20, 7).collect()}
+    assert sorted(got) == [19, 26, 33, 40, 47, 54]
+    for k, beta in got.items():
+        want = np.linalg.lstsq(x[k - 19 : k + 1], y[k - 19 : k + 1], rcond=None)[0]
+        assert beta == pytest.approx(list(want), abs=1e-8)
