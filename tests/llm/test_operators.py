@@ -57,6 +57,27 @@ def test_simhash_rows(spark, awkward, awkward_rows, nothing):
     assert simhash.keep_one(spark, nothing).count() == 0
 
 
+def test_all_similar_texts_are_found(spark):
+    rng, vocabulary = random.Random(7), [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(25):
+        words = rng.choices(vocabulary, k=rng.choice([3, 8, 40, 120, 300]))
+        texts.append(" ".join(words))
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(max(1, len(words) * rng.randrange(1, 9) // 200)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    passage = rng.choices(vocabulary, k=60)
+    texts += [" ".join(passage + rng.choices(vocabulary, k=k)) for k in (2, 6, 10, 14, 18, 40) for _ in range(8)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    apart = lambda a, b: (brute.fingerprint(texts[a], 5) ^ brute.fingerprint(texts[b], 5)).bit_count()
+    assert max(apart(a, b) for a, b in pairs) > 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one_similar(spark, docs).collect()) == sorted(set(brute.components(len(texts), pairs)))
+
+
 @pytest.mark.parametrize("key_pairs", [simhash.KEY_PAIRS, 20, 1])
 def test_simhash_links_are_all_found(spark, monkeypatch, key_pairs):
     monkeypatch.setattr(simhash, "KEY_PAIRS", key_pairs)

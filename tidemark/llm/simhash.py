@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, components
+from .common import Cut, components, small
 
 BITS = 64
 SHINGLE = 3
@@ -24,17 +24,27 @@ PROBE_COST = 2.0
 #: Pairs that one key may give; keys with more are handled through common neighbours.
 KEY_PAIRS = 4096
 SEED = 42
+#: Where no contract says otherwise, near-duplicates have a Jaccard similarity of 4/5 or more by five-word shingles.
+SHINGLE_SIMILAR, SIMILAR = 5, (4, 5)
+#: Shingles are counted by so many bits of their hashes, over one in SKETCH_OF texts, to order them from rare to common.
+SKETCH, SKETCH_OF = 17, 8
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of a whole text's word shingles, repeats included."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a whole text's word shingles, repeats included; a shorter text is one shingle, a text without words has none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # bytes: A-Z alone are lowered, and the six white-space bytes part words
-    if not words:
-        return 0
-    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    h = np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64)
+    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.fromiter(map(xxh64_intdigest, joined, repeat(SEED)), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of a whole text's word shingles, repeats included."""
+    return _signed(hashes(text, shingle))
+
+
+def _signed(h: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
@@ -255,3 +265,119 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> Da
     # both by the same keys, so that texts are moved once
     on = ["_sh_fp", "_sh_key"]
     return rows.withColumn("_sh_key", key(F.col("doc_id"))).join(stays, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+
+
+def rarest(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of n distinct hashes, so many of the rarest that two sets of at least SIMILAR similarity list one in common.
+
+    Any fixed order of hashes is right; counts by the hashes' highest bits put common shingles last.
+    """
+    top, of = SIMILAR
+    own = h[np.lexsort((h, counts[h >> np.uint64(BITS - SKETCH)]))]
+    return own[: len(h) + len(h) * -top // of + 1]
+
+
+def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut: Cut) -> DataFrame:
+    """Edges ``a, b`` between nodes that connect all whose sets of SHINGLE_SIMILAR-word shingles have a Jaccard similarity of SIMILAR or more.
+
+    ``rows`` have ``_sh_node, _sh_key, text``, and ``unique`` has ``node, fp, key, n``: a node is a distinct set of n, key the
+    row that stands for it. Candidates are SimHash links and those who list a rare shingle in common, which no pair
+    escapes; each is tested on its whole sets. First each is held against the least of its fingerprint or shingle,
+    then against those who share a shingle and are not connected yet, so that near-copies are not expanded into pairs.
+    """
+    top, of = SIMILAR
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SKETCH, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                n += np.bincount((np.unique(hashes(text.as_py(), SHINGLE_SIMILAR)) >> np.uint64(BITS - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                part = batch.slice(start, 500)
+                own = [np.unique(hashes(t.as_py(), SHINGLE_SIMILAR)) for t in part.column(1)]
+                rare = [rarest(h, counts.value) if len(h) else h for h in own]
+                at = [len(x) for x in rare]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), at)), pa.array(np.repeat([len(h) for h in own], at).astype(np.int32))], ["key", "node", "n"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                part = batch.slice(start, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(hashes(t.as_py(), SHINGLE_SIMILAR)).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], ["node", "own"])
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        size = lambda c: unique.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        pairs = cut(pairs.join(size("a"), "a").join(size("b"), "b").where((F.col("n_a") * of >= F.col("n_b") * top) & (F.col("n_b") * of >= F.col("n_a") * top)))
+        need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(unique, "node").select(F.col("node").alias("_sh_node"), F.col("key").alias("_sh_key")))
+        sets = cut(rows.join(small(need), ["_sh_node", "_sh_key"], "left_semi").dropDuplicates(["_sh_node", "_sh_key"]).select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
+        x, y = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
+        common = F.size(F.array_intersect("own_a", "own_b"))
+        out = cut(pairs.join(x, "a").join(y, "b").where(common * (top + of) >= (F.col("n_a") + F.col("n_b")) * top).select("a", "b"))
+        cut.drop(pairs, need, sets)
+        return out
+
+    some = rows.where(f"pmod(_sh_node, {SKETCH_OF}) = 0").select("text")  # of texts, for an order only
+    table = np.zeros(1 << SKETCH, np.int64)
+    for cell, n in some.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most 2**SKETCH rows
+        table[cell] = n
+    counts = spark.sparkContext.broadcast(table)
+    keys = rows.select("_sh_node", "text").mapInArrow(listed, "key long, node long, n int").repartition("key")  # rows of three numbers, moved once
+    busy = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
+    shared = cut(keys.join(busy.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"]))
+
+    fps = cut(unique.groupBy("fp").agg(F.min("node").alias("head")))
+    near = links(spark, fps.select("fp"), cut)
+    name = lambda c: fps.select(F.col("fp").alias(c), F.col("head").alias(f"n_{c}"))
+    near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    same = unique.join(fps, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    first = tested(near.unionByName(same).unionByName(shared.select(F.col("least").alias("a"), F.col("node").alias("b"))))
+    roots = components(spark, first, cut)
+    rooted = cut(shared.join(roots, "node", "left").select("key", "node", "n", "least", F.coalesce("root", "node").alias("root")))
+    cut.drop(shared)
+    split = cut(rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"))
+    left = cut(rooted.join(split, "key", "left_semi"))
+    cut.drop(rooted)
+    x, y = left.alias("x"), left.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    apart &= (F.col("x.node") != F.col("x.least")) & (F.col("x.n") * of >= F.col("y.n") * top) & (F.col("y.n") * of >= F.col("x.n") * top)
+    second = tested(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return first.unionByName(second)
+
+
+def keep_one_similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` without near-duplicates by ``similar_links``: of each component one row stays, that of the smallest doc_id (nulls last).
+
+    Texts without words are copies of each other. If several rows of a component share that doc_id, the one of the
+    smallest node stays, and one of those that agree in this too. Columns whose names begin with _sh_ are dropped.
+    """
+    from xxhash import xxh64_intdigest
+
+    cut = Cut(spark, "similar")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = []
+            for t in batch.column(batch.schema.get_field_index("text")):
+                h = hashes(t.as_py(), SHINGLE_SIMILAR)
+                own = np.unique(h)
+                each.append((_signed(h), xxh64_intdigest(own.tobytes(), SEED), len(own)))
+            nodes = np.array([x[1] for x in each], np.uint64).view(np.int64)
+            yield batch.append_column("_sh_fp", pa.array([x[0] for x in each], pa.int64())).append_column("_sh_node", pa.array(nodes)).append_column("_sh_n", pa.array([x[2] for x in each], pa.int64()))
+
+    docs = docs.drop("_sh_fp", "_sh_key", "_sh_node", "_sh_n")
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null/"))
+    rows = cut(docs.mapInArrow(run, f"{kinds}, _sh_fp long, _sh_node long, _sh_n long").withColumn("_sh_key", key(F.col("doc_id"))))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    unique = cut(rows.groupBy(F.col("_sh_node").alias("node")).agg(first.alias("least"), F.min("_sh_fp").alias("fp"), F.min("_sh_n").alias("n")).withColumn("key", key(F.col("least.id"))))
+    roots = components(spark, similar_links(spark, rows, unique, cut), cut)
+    unique = unique.join(roots, "node", "left").select("node", "least", "key", F.coalesce("root", "node").alias("root"))
+    stays = cut(unique.groupBy("root").agg(F.min(F.struct("least", "node", "key")).alias("s")).select(F.col("s.node").alias("_sh_node"), F.col("s.key").alias("_sh_key")))
+    on = ["_sh_node", "_sh_key"]
+    return rows.join(stays, on, "left_semi").dropDuplicates(on).select(*docs.columns)
