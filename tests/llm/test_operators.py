@@ -348,6 +348,15 @@ def test_base_spans_drop_failing_matches():
         assert [(k, a, b) for k, a, b, _ in secrets.scan(t) if k != "guess"] == brute.base_spans(t), t
 
 
+def guesses(text):
+    return [text[a:b] for k, a, b, _ in secrets.scan(text) if k == "guess"]
+
+
+@pytest.mark.parametrize("head", ["Authorization: Bearer ", "authorization: Basic ", '"Authorization": "Bearer ', "auth=token "])
+def test_values_behind_a_scheme(head):
+    assert guesses(f"GET / {head}eyJhbGciOi.J9xQ7-zz81kQ") == ["eyJhbGciOi.J9xQ7-zz81kQ"]
+
+
 def test_secret_rows(spark, awkward, awkward_rows, nothing):
     got = [(r["doc_id"], [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "guess"]) for r in secrets.find_secrets(awkward).collect()]
     same(got, [(i, brute.base_spans(t)) for i, t in text_of(awkward_rows)])

@@ -92,8 +92,8 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 STEMS = re.compile(rb"pass|pwd|secret|token|api|auth|bearer|credential|access")
-#: A credential's name, then a sign, "is" or, for schemes, a space, then a value up to a space or closing sign.
-CONTEXT = re.compile(rb"(?<![a-z0-9])(?:[a-z0-9]+[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?)[\"']?(?:\x20?(?::|=>?|->)\x20?|\x20is:?\x20|:\x20bearer\x20)[\"'`]?([^\x00-\x20\"'`<>,;]{6,})")
+#: A credential's name, then a sign or "is", then perhaps a scheme, then a value up to a space or closing sign.
+CONTEXT = re.compile(rb"(?<![a-z0-9])(?:[a-z0-9]+[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?)[\"']?(?:\x20?(?::|=>?|->)\x20?|\x20is:?\x20)[\"'`]?(?:(?:bearer|basic|token)\x20+)?[\"'`]?([^\x00-\x20\"'`<>,;]{6,})")
 KINDS = ("assign", "access", "hex", "guess")
 
 
