@@ -357,6 +357,17 @@ def test_values_behind_a_scheme(head):
     assert guesses(f"GET / {head}eyJhbGciOi.J9xQ7-zz81kQ") == ["eyJhbGciOi.J9xQ7-zz81kQ"]
 
 
+@pytest.mark.parametrize("head", ["pwd = ", "passphrase: ", "auth=", "access_key=", "the password is "])
+@pytest.mark.parametrize("value", ["QwxTzKpLmVbNdFgH", "qwxtzkplmvbndfgh"])
+def test_values_of_letters_only(head, value):
+    assert guesses(f"{head}{value} .") == [value]
+
+
+@pytest.mark.parametrize("text", ["the password is important.", "my secret is Friendship", "the token is unforgettable", "auth: required", "pwd: changeme", "credentials: provided"])
+def test_words_are_no_values(text):
+    assert guesses(text) == []
+
+
 def test_secret_rows(spark, awkward, awkward_rows, nothing):
     got = [(r["doc_id"], [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "guess"]) for r in secrets.find_secrets(awkward).collect()]
     same(got, [(i, brute.base_spans(t)) for i, t in text_of(awkward_rows)])

@@ -23,7 +23,12 @@ november december monday tuesday wednesday thursday friday saturday sunday micha
 hunter buster soccer hockey killer george charlie andrew michelle love jessica pepper daniel joshua maggie
 starwars computer freedom whatever ginger ninja mustang hello world mother father brother sister house
 green blue red black white yellow orange purple silver golden string value name none null true false
-your here enter insert replace placeholder xxxx redacted hidden dummy fake todo""".split()
+your here enter insert replace placeholder xxxx redacted hidden dummy fake todo
+required expired invalid unknown missing correct incorrect enabled disabled optional provided protected changed
+stored encrypted needed empty wrong valid expected received accepted rejected denied allowed granted failed
+authentication authorization credentials credential passphrase passcode username configuration environment
+variable parameter argument function method object default header request response undefined unset anonymous
+manager provider handler important necessary different available following always never should cannot""".split()
 # Rows of a keyboard, with shift; a walk stays in one of them.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789", "!@#$%^&*()")
 # Letters that digits and signs stand for.
@@ -93,7 +98,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 STEMS = re.compile(rb"pass|pwd|secret|token|api|auth|bearer|credential|access")
 #: A credential's name, then a sign or "is", then perhaps a scheme, then a value up to a space or closing sign.
-CONTEXT = re.compile(rb"(?<![a-z0-9])(?:[a-z0-9]+[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?)[\"']?(?:\x20?(?::|=>?|->)\x20?|\x20is:?\x20)[\"'`]?(?:(?:bearer|basic|token)\x20+)?[\"'`]?([^\x00-\x20\"'`<>,;]{6,})")
+CONTEXT = re.compile(rb"(?<![a-z0-9])(?:[a-z0-9]+[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?)[\"']?(?:\x20?(?::|=>?|->)\x20?|(\x20is:?\x20))[\"'`]?(?:(?:bearer|basic|token)\x20+)?[\"'`]?([^\x00-\x20\"'`<>,;]{6,})")
+#: Behind "is", what is built like a word of prose is no value: one way of writing, no long runs of consonants or vowels.
+PROSE = re.compile(r"(?!.*[b-df-hj-np-tv-xz]{5})(?!.*[aeiou]{4})(?:[a-z]|[^\W\d_a-zA-Z]){1,18}")
 KINDS = ("assign", "access", "hex", "guess")
 
 
@@ -112,12 +119,13 @@ def scan(text: str | None, min_cost: float = MIN_COST) -> list[tuple[str, int, i
     if STEMS.search(low):
         base, at = sorted((a, b) for _, a, b, _ in found), 0
         for m in CONTEXT.finditer(low):
-            start, value = m.start(1), raw[m.start(1) : m.end(1)].rstrip(b".!?)]}")
+            start, value = m.start(2), raw[m.start(2) : m.end(2)].rstrip(b".!?)]}")
             while at < len(base) and base[at][1] <= start:
                 at += 1
             if len(value) >= 6 and not (at < len(base) and base[at][0] < start + len(value)):
-                cost = guess_cost(value.decode(errors="replace"))
-                if cost >= min_cost and not value.isalpha():
+                said = value.decode(errors="replace")
+                cost = guess_cost(said)
+                if cost >= min_cost and not (m[1] and (said.islower() or said.istitle() or said.isupper() or not said.isascii()) and PROSE.fullmatch(said.lower())):
                     found.append((3, start, start + len(value), cost))
     found.sort(key=lambda x: (x[1], x[0]))
     if len(raw) != len(text or ""):
