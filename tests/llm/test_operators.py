@@ -368,6 +368,13 @@ def test_words_are_no_values(text):
     assert guesses(text) == []
 
 
+def test_values_that_base_spans_cover_in_part(spark):
+    texts = ["password=Secret1!x9#QzV7p", "pwd=" + "x!" + "a1" * 12 + "Q#zV7p", "token=abcdef123456 and"]
+    assert [guesses(t) for t in texts] == [["Secret1!x9#QzV7p"], ["x!" + "a1" * 12 + "Q#zV7p"], []]
+    clean = secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == ["<assign>", "pwd=<guess>", "<assign> and"]
+
+
 def test_secret_rows(spark, awkward, awkward_rows, nothing):
     got = [(r["doc_id"], [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "guess"]) for r in secrets.find_secrets(awkward).collect()]
     same(got, [(i, brute.base_spans(t)) for i, t in text_of(awkward_rows)])

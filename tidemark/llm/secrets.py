@@ -107,7 +107,8 @@ KINDS = ("assign", "access", "hex", "guess")
 def scan(text: str | None, min_cost: float = MIN_COST) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, cost) of each secret of a whole text, by start, then kind; in code points, end exclusive.
 
-    cost: of a guess, log10 of its tries, else 0. A guess is a value that no base span covers.
+    cost: of a guess, log10 of its tries, else 0. A guess is a value that base spans do not
+    cover whole; it may overlap them.
     """
     raw = (text or "").encode()
     low, found = raw.lower(), []
@@ -117,12 +118,17 @@ def scan(text: str | None, min_cost: float = MIN_COST) -> list[tuple[str, int, i
         found += [(1, m.start(), m.end(), 0.0) for m in ACCESS.finditer(raw) if m.end() - m.start() >= 20]
     found += [(2, m.start(), m.end(), 0.0) for m in HEX.finditer(raw)]
     if STEMS.search(low):
-        base, at = sorted((a, b) for _, a, b, _ in found), 0
+        base, at = [], 0
+        for a, b in sorted((a, b) for _, a, b, _ in found):
+            if base and a <= base[-1][1]:
+                base[-1][1] = max(b, base[-1][1])
+            else:
+                base.append([a, b])
         for m in CONTEXT.finditer(low):
             start, value = m.start(2), raw[m.start(2) : m.end(2)].rstrip(b".!?)]}")
             while at < len(base) and base[at][1] <= start:
                 at += 1
-            if len(value) >= 6 and not (at < len(base) and base[at][0] < start + len(value)):
+            if len(value) >= 6 and not (at < len(base) and base[at][0] <= start and start + len(value) <= base[at][1]):
                 said = value.decode(errors="replace")
                 cost = guess_cost(said)
                 if cost >= min_cost and not (m[1] and (said.islower() or said.istitle() or said.isupper() or not said.isascii()) and PROSE.fullmatch(said.lower())):
