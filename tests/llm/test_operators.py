@@ -375,6 +375,11 @@ def test_values_that_base_spans_cover_in_part(spark):
     assert [r["text"] for r in clean] == ["<assign>", "pwd=<guess>", "<assign> and"]
 
 
+@pytest.mark.parametrize("head", ["pwd  = ", "passphrase:\t", "passphrase \t is  ", "dbPwd: ", "a_b-pwd=", "accessKey: ", "password: secret: ", "auth: access_key =  "])
+def test_names_and_spaces_before_values(head):
+    assert guesses(f"{head}Xy9#kLmQ!z77") == ["Xy9#kLmQ!z77"]
+
+
 def test_secret_rows(spark, awkward, awkward_rows, nothing):
     got = [(r["doc_id"], [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "guess"]) for r in secrets.find_secrets(awkward).collect()]
     same(got, [(i, brute.base_spans(t)) for i, t in text_of(awkward_rows)])

@@ -97,8 +97,11 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 STEMS = re.compile(rb"pass|pwd|secret|token|api|auth|bearer|credential|access")
-#: A credential's name, then a sign or "is", then perhaps a scheme, then a value up to a space or closing sign.
-CONTEXT = re.compile(rb"(?<![a-z0-9])(?:[a-z0-9]+[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?)[\"']?(?:\x20?(?::|=>?|->)\x20?|(\x20is:?\x20))[\"'`]?(?:(?:bearer|basic|token)\x20+)?[\"'`]?([^\x00-\x20\"'`<>,;]{6,})")
+NAME = rb"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?)"
+#: A credential's name, on its own or as the end of a compound, then a sign or "is", then perhaps a scheme, then a value up to a space or closing sign.
+CONTEXT = re.compile(rb"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:" + NAME + rb"[\"']?(?:[\x20\t]*(?::|=>?|->)[\x20\t]*|([\x20\t]+is:?[\x20\t]+))[\"'`]?(?:(?:bearer|basic|token)[\x20\t]+)?[\"'`]?)([^\x00-\x20\"'`<>,;]{6,})")
+#: A value that is a name itself, with its sign.
+NAMED = re.compile(rb"(?i:(?:[a-z0-9]+[_-])*" + NAME + rb")(?::|=>?|->)?")
 #: Behind "is", what is built like a word of prose is no value: one way of writing, no long runs of consonants or vowels.
 PROSE = re.compile(r"(?!.*[b-df-hj-np-tv-xz]{5})(?!.*[aeiou]{4})(?:[a-z]|[^\W\d_a-zA-Z]){1,18}")
 KINDS = ("assign", "access", "hex", "guess")
@@ -124,7 +127,8 @@ def scan(text: str | None, min_cost: float = MIN_COST) -> list[tuple[str, int, i
                 base[-1][1] = max(b, base[-1][1])
             else:
                 base.append([a, b])
-        for m in CONTEXT.finditer(low):
+        m = CONTEXT.search(raw)
+        while m:
             start, value = m.start(2), raw[m.start(2) : m.end(2)].rstrip(b".!?)]}")
             while at < len(base) and base[at][1] <= start:
                 at += 1
@@ -133,6 +137,7 @@ def scan(text: str | None, min_cost: float = MIN_COST) -> list[tuple[str, int, i
                 cost = guess_cost(said)
                 if cost >= min_cost and not (m[1] and (said.islower() or said.istitle() or said.isupper() or not said.isascii()) and PROSE.fullmatch(said.lower())):
                     found.append((3, start, start + len(value), cost))
+            m = CONTEXT.search(raw, m.start(2) if NAMED.fullmatch(m[2]) else m.end())
     found.sort(key=lambda x: (x[1], x[0]))
     if len(raw) != len(text or ""):
         place, last, n = {}, 0, 0
