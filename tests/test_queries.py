@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tests.oracle import DATA, assert_same
+from tests.oracle import DATA, assert_same, connection
 from tidemark import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -23,3 +23,9 @@ def test_gives_rows(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize(("name", "table"), [("srt1_key_order_whole", "SELECT count(*) FROM events"), ("srt2_reverse_order_whole", "SELECT count(DISTINCT o_orderdate::DATE) FROM orders")])
+def test_whole_series_are_ordered(spark, name, table):
+    n = connection(DATA).sql(table).df().iloc[0, 0]
+    assert sorted(r["place"] for r in QUERIES[name](spark, DATA).collect()) == list(range(1, n + 1))

@@ -128,6 +128,16 @@ def srt2(spark: SparkSession, d: str) -> DataFrame:
     return daily_orders(spark, d).to_df().orderBy(F.desc("k")).limit(100)
 
 
+@query("srt1_key_order_whole", "SELECT user_id, k, v, row_number() OVER (ORDER BY user_id, k) AS place FROM e")
+def srt1_whole(spark: SparkSession, d: str) -> DataFrame:
+    return summary.ordered(user_series(spark, d))
+
+
+@query("srt2_reverse_order_whole", "SELECT k, v, row_number() OVER (ORDER BY k DESC) AS place FROM o")
+def srt2_whole(spark: SparkSession, d: str) -> DataFrame:
+    return summary.ordered(daily_orders(spark, d), reverse=True)
+
+
 @query("lim1_offset_take", "SELECT k, v FROM o ORDER BY k LIMIT 50 OFFSET 25")
 def lim1(spark: SparkSession, d: str) -> DataFrame:
     return daily_orders(spark, d).to_df().orderBy("k").offset(25).limit(50)
