@@ -93,3 +93,51 @@ def targets(sizes: dict) -> dict:
         out |= {s: 3.0 * sizes[s] for s in over}
         left -= over
     return out
+
+
+def guess_cost(value: str, words: tuple[str, ...] = ()) -> float:
+    """The least cost over all cuts, from the cost of every substring as one segment."""
+    import math
+
+    from tidemark.llm import secrets
+
+    rank = {}
+    for w in (*secrets.FIRST, *words):
+        rank.setdefault(w, len(rank) + 1)
+    key = lambda c: c.lower().translate(secrets.UNSHIFT)
+
+    def shifts(s):
+        up = [c != key(c) for c in s]
+        return secrets.SHIFT * (up[0] + sum(a != b for a, b in zip(up, up[1:], strict=False)))
+
+    def segment(a, b):
+        s, n = value[a:b], b - a
+        low, out = s.lower(), []
+        if n == 1:
+            out.append(math.log10(10 if s.isdigit() else 26 if s.isascii() and s.isalpha() else 33))
+        if n >= 3:
+            r = rank.get(low) or 4 * rank.get(low.translate(secrets.LEET), 0)
+            if r:
+                out.append(math.log10(r) + secrets.SHIFT * (0 if s == low else 1 if s.istitle() or s.isupper() else n) + secrets.JOIN)
+            k = "".join(map(key, s))
+            if any(k in x or k in x[::-1] for x in secrets.LINES):
+                out.append(secrets.LINE + n * secrets.STEP + shifts(s) + secrets.JOIN)
+            ways = [secrets.ADJACENT.get(x) for x in zip(k, k[1:], strict=False)]
+            if None not in ways:
+                out.append(secrets.WALK + 2 * secrets.STEP + sum(secrets.STEP if x == y else secrets.TURN for x, y in zip(ways, ways[1:], strict=False)) + shifts(s) + secrets.JOIN)
+        if n == 4 and re.fullmatch(r"(19|20)[0-9]{2}", s):
+            out.append(secrets.YEAR + secrets.JOIN)
+        for sep in ("", "-", "/", "."):
+            for form in ("{y:04}{s}{m:02}{s}{d:02}", "{d:02}{s}{m:02}{s}{y:04}"):
+                m = re.fullmatch(re.escape(form.format(y=7777, m=88, d=99, s=sep)).replace("7777", "(?P<y>[0-9]{4})").replace("88", "(?P<m>[0-9]{2})").replace("99", "(?P<d>[0-9]{2})"), s)
+                if m and 1900 <= int(m["y"]) <= 2099 and 1 <= int(m["m"]) <= 12 and 1 <= int(m["d"]) <= 31:
+                    out.append(secrets.DAY + secrets.JOIN)
+        for p in range(1, min(secrets.UNIT, a) + 1):
+            if n >= max(p, 2) and all(value[j] == value[j - p] for j in range(a, b)):
+                out.append(math.log10(p + 1) + n * secrets.STEP + secrets.JOIN)
+        return min(out, default=math.inf)
+
+    best = [0.0]
+    for b in range(1, len(value) + 1):
+        best.append(min(best[a] + segment(a, b) for a in range(b)))
+    return best[-1]

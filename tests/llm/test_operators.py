@@ -321,18 +321,37 @@ def test_repeat_rows(spark, awkward, awkward_rows, nothing):
 # secrets
 
 
+VOCABULARY = secrets.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
-    assert max(map(cost, ("password123", "qwertyuiop", "aaaaaaaaaaaaaaaa", "P@ssw0rd", "20240115", "abcabcabcabc", "Summer2023!"))) < secrets.MIN_COST
-    assert min(map(cost, ("x7$Kq9!zLm2", "24be64439e3e49cf", "vT3#pL0q!w"))) > secrets.MIN_COST
-    assert cost("") == 0 and cost("x7$Kq9!zLm2" * 500) > 100
+    assert len(VOCABULARY) > 20_000
+    assert max(map(cost, ("password123", "qwertyuiop", "aaaaaaaaaaaaaaaa", "P@ssw0rd", "20240115", "abcabcabcabc", "Summer2023!", "monkeyzxcv99", "1qaz2wsx3edc", "qazwsxedcrfv"))) < secrets.MIN_COST
+    assert min(map(cost, ("x7$Kq9!zLm2", "24be64439e3e49cf", "vT3#pL0q!w", "kjhqwbvmzxplrtaq"))) > secrets.MIN_COST
+    assert cost("passwordefgh") <= 2.91 and cost("baseballmnop") <= 4.2 and cost("dragonnnnnnn") <= 4.03
+    assert cost("unforgettable") > secrets.MIN_COST > cost("unforgettable", VOCABULARY)
+    assert cost("") == 0 and cost("x7$Kq9!zLm2") < cost("x7$Kq9!zLm2" * 3) < cost("x7$Kq9!zLm2") + 4
 
 
 def test_cheapest_segmentation_by_trying_all():
-    for value in ("pass2024", "aaa111", "qwe7zz", "R00t!1"):
-        n = len(value)
-        best = min(sum(secrets.guess_cost(value[a:b]) for a, b in zip((0, *cuts), (*cuts, n), strict=True)) for cuts in ([i for i in range(1, n) if m >> i & 1] for m in range(0, 2**n, 2)))
-        assert secrets.guess_cost(value) == pytest.approx(best)
+    rng = random.Random(16)
+    pieces = ["password", "Dragon", "m0nkey", "efgh", "zyx", "qwer", "1qaz", "2wsx", "zxcv", "yhn", "!@#", "QWE", "aaa", "77", "2024", "20240115", "31-12-1999", "x7$", "Kq9", "ab", "t", "!", "0", "é", "ten", "poiu", "asd", "gtf", "00", "19"]
+    for k in range(3000):
+        value = "".join(rng.choices(pieces, k=rng.randrange(1, 5)))
+        if k % 3 == 0:
+            value = value[: rng.randrange(1, 6)] * rng.randrange(1, 5) + value[rng.randrange(len(value)) :]
+        words = ("often", "pass", "tent", "dfgh") if k % 2 else ()
+        assert secrets.guess_cost(value, words) == pytest.approx(brute.guess_cost(value, words)), value
+
+
+def test_long_values_take_linear_time():
+    import time
+
+    begun = time.process_time()
+    for unit in ("x7$Kq9!zLm2", "a", "qwerty", "1qaz"):
+        secrets.guess_cost(unit * (40_000 // len(unit)))
+    assert time.process_time() - begun < 60
 
 
 def test_method_adds_to_base_spans():
@@ -349,7 +368,7 @@ def test_base_spans_drop_failing_matches():
 
 
 def guesses(text):
-    return [text[a:b] for k, a, b, _ in secrets.scan(text) if k == "guess"]
+    return [text[a:b] for k, a, b, _ in secrets.scan(text, words=VOCABULARY) if k == "guess"]
 
 
 @pytest.mark.parametrize("head", ["Authorization: Bearer ", "authorization: Basic ", '"Authorization": "Bearer ', "auth=token "])
