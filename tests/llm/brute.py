@@ -40,6 +40,11 @@ def fingerprint(text: str | None, k: int = 3) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text: str | None, k: int) -> set:
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
 def quality(text: str | None) -> tuple:
     t = text or ""
     w = WORD.findall(t)
@@ -141,3 +146,44 @@ def guess_cost(value: str, words: tuple[str, ...] = ()) -> float:
     for b in range(1, len(value) + 1):
         best.append(min(best[a] + segment(a, b) for a in range(b)))
     return best[-1]
+
+
+def all_spans(text: str | None, words: tuple[str, ...] = ()):
+    """Base spans and the values in a credential's place that cost much, by their definition, on characters rather than bytes."""
+    from tidemark.llm import secrets
+
+    t, base = text or "", base_spans(text)
+    context, named = (re.compile(x.pattern.decode(), re.A) for x in (secrets.CONTEXT, secrets.NAMED))
+    covered = set()
+    for _, a, z in base:
+        covered |= set(range(a, z))
+    out, at = [(a, k, z) for k, a, z in base], 0
+    while m := context.search(t, at):
+        value, a = m[2].rstrip(".!?)]}"), m.start(2)
+        at = a if named.fullmatch(m[2]) else m.end()
+        prose = m[1] and (value.islower() or value.istitle() or value.isupper() or not value.isascii()) and secrets.PROSE.fullmatch(value.lower())
+        joined = {tuple(x) for x in _runs(covered)}
+        if len(value.encode()) >= 6 and not any(x <= a and a + len(value) <= y for x, y in joined) and not prose and guess_cost(value, words) >= 9:
+            out.append((a, "guess", a + len(value)))
+    order = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
+    return [(k, a, z) for a, k, z in sorted(out, key=lambda x: (x[0], order[x[1]]))]
+
+
+def _runs(places: set[int]):
+    out: list[list[int]] = []
+    for p in sorted(places):
+        if out and out[-1][1] == p:
+            out[-1][1] = p + 1
+        else:
+            out.append([p, p + 1])
+    return out
+
+
+def redacted(text: str | None, words: tuple[str, ...] = ()) -> str | None:
+    """Every character of a span goes; the kind of the first span of each run of overlapping ones stands for it."""
+    out, last = [], 0
+    for k, a, z in all_spans(text, words):
+        if a >= last:
+            out += [text[last:a], f"<{k}>"]
+        last = max(last, z)
+    return "".join([*out, text[last:]]) if out else text

@@ -472,8 +472,12 @@ def test_map_versions_are_stored(spark, tmp_path):
         a.save(spark, path)
 
 
-def test_shard_rows(spark, awkward, awkward_rows, nothing):
-    out = sharding.shard_documents(awkward, 3).collect()
+def test_shard_rows(spark, awkward, awkward_rows, nothing, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "RUN", 2)
+    path = f"file://{tmp_path}/maps"
+    out = sharding.shard_documents(awkward, 3, path).collect()
+    assert sharding.SlotMap.load(spark, f"{path}/by-key") == sharding.SlotMap.of(3) and sharding.SlotMap.load(spark, f"{path}/by-bytes").version == 4
+    assert {r["balanced_version"] for r in sharding.shard_documents(awkward, 3, path).collect()} == {5}
     same([(r["doc_id"], r["size"], r["text_crc32"]) for r in out], [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in text_of(awkward_rows)])
     for s in range(3):
         places = sorted(r["slot"] for r in out if r["shard"] == s)

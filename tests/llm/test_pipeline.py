@@ -13,22 +13,14 @@ from tests.llm.conftest import DATA
 from tidemark.llm import secrets
 
 
-def redacted(text):
-    out, last = [], 0
-    for k, a, b, _ in secrets.scan(text):
-        if a >= last:
-            out += [text[last:a], f"<{k}>"]
-        last = max(last, b)
-    return "".join([*out, text[last:]]) if out else text
-
-
 def test_run_against_brute_force(spark, documents):
     rows = {r["doc_id"]: r for r in documents.collect()}
     kept = sorted(i for i, r in rows.items() if not brute.quality(r["text"])[-1])
-    fps = [brute.fingerprint(rows[i]["text"]) for i in kept]
-    root = brute.components(len(kept), [(a, b) for a in range(len(kept)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    sets = [brute.shingles(rows[i]["text"], 5) for i in kept]
+    root = brute.components(len(kept), [(a, b) for a in range(len(kept)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
     kept = sorted({kept[r] for r in root})
-    text = {i: redacted(rows[i]["text"]) for i in kept}
+    words = secrets.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    text = {i: brute.redacted(rows[i]["text"], words) for i in kept}
     size, source = {i: len(brute.WORD.findall(t)) for i, t in text.items()}, {i: rows[i]["source"] for i in kept}
     total, largest = Counter(), Counter()
     for i in kept:
@@ -54,6 +46,22 @@ def test_stages_keep_the_columns(spark, documents):
 
 
 def test_stages_take_awkward_and_empty_tables(spark, awkward, nothing):
-    for docs in (awkward.select("doc_id", "text", "lang", "source", "n_chars"), nothing.select("doc_id", "text", "lang", "source", "n_chars")):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, DATA).collect()
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    quality, near, secret, mix, encode = (stage for _, stage in corpus_pipeline.STAGES)
+    docs = awkward.select(*columns)
+    rows = docs.collect()
+    key = lambda r: (repr(r["doc_id"]), r["text"] or "")
+    good = sorted(key(r) for r in rows if not brute.quality(r["text"])[-1])
+    found = sorted(map(key, quality(spark, docs, DATA).collect()))
+    assert found and Counter(found) <= Counter(good)  # hosts may take more
+    sets = [brute.shingles(r["text"], 5) for r in rows]
+    root = brute.components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    least = {r: min((x["doc_id"] for x, y in zip(rows, root, strict=True) if y == r and x["doc_id"] is not None), default=None) for r in set(root)}
+    assert Counter(r["doc_id"] for r in near(spark, docs, DATA).collect()) == Counter(least.values())
+    words = secrets.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    assert Counter((r["doc_id"], r["text"]) for r in secret(spark, docs, DATA).collect()) == Counter((r["doc_id"], brute.redacted(r["text"], words)) for r in rows)
+    assert max(Counter(key(r) for r in mix(spark, docs, DATA).collect()).values()) <= 3 * max(Counter(map(key, rows)).values())
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in encode(spark, docs, DATA).collect()) == Counter((r["doc_id"], len(sp.encode(r["text"] or ""))) for r in rows)
+    for stage in (quality, near, secret, mix, encode):
+        assert stage(spark, nothing.select(*columns), DATA).count() == 0

@@ -14,6 +14,7 @@ import __spark_entry__
 from tests.llm import brute
 from tests.llm.conftest import DATA
 from tests.oracle import assert_same
+from tidemark.llm import mixing, secrets, sharding
 from tidemark.llm import queries as llm
 
 QUERIES = llm.queries()
@@ -76,11 +77,12 @@ def test_op7(spark, texts):
 
 
 def test_op8(spark, texts):
+    words = secrets.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
     for i, r in by_id(spark, "op8_secret_scan").items():
         base = brute.base_spans(texts[i])
         kinds = [k for k, _, _ in base]
         assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == (kinds.count("assign"), kinds.count("access"), kinds.count("hex"), brute.sha(brute.joined(base)))
-        assert set(brute.joined(base).split(",")) - {""} <= set(r["spans"].split(","))
+        assert r["spans"] == brute.joined(brute.all_spans(texts[i], words))
 
 
 def test_op9(spark, documents):
@@ -99,6 +101,18 @@ def test_op9(spark, documents):
     for i, n in size.items():
         largest[source[i]] = max(largest[source[i]], n)
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in want)
+    assert all(r["taken"] == size[i] * len(r["mix_shards"]) for i, r in got.items())
+    blocks = {}
+    for i, r in got.items():
+        at = source[i], r["block"]
+        blocks[at] = max(blocks.get(at, []), r["mix_shards"], key=len)
+    order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    draws = [sum(len(x) for (s, _), x in blocks.items() if s == t) for t in order]
+    dealt = mixing.split_quotas(draws, mixing.SHARDS)
+    if all(blocks.values()):
+        for n, t in enumerate(order):
+            of = [k for (s, _), x in blocks.items() if s == t for k in x]
+            assert sum(abs(of.count(k) - dealt[k][n]) for k in range(mixing.SHARDS)) == 0
 
 
 def test_op10(spark, texts):
@@ -110,3 +124,15 @@ def test_op10(spark, texts):
         assert 0 <= r["shard"] < 40 and r["grown_shard"] in (r["shard"], 40)
         places[r["shard"]].append(r["slot"])
     assert set(got) == set(texts) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    load, balanced = defaultdict(int), defaultdict(int)
+    for r in got.values():
+        load[r["vslot"]] += r["size"]
+        balanced[r["balanced_shard"]] += r["size"]
+    now = sharding.SlotMap.of(40)
+    then = now.rebalance(load)
+    before = defaultdict(int)
+    for r in got.values():
+        assert (r["slot_bytes"], r["map_version"], r["balanced_version"]) == (load[r["vslot"]], now.version, now.version + 1)
+        assert (r["shard"], r["balanced_shard"]) == (now.shards[r["vslot"]], then.shards[r["vslot"]])
+        before[r["shard"]] += r["size"]
+    assert max(balanced.values()) <= max(before.values())

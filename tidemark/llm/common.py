@@ -35,6 +35,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
 class Cut:
     """Writes intermediate tables to the shared folder, so that neither a lost executor nor a second use recomputes them.
 

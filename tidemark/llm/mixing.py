@@ -167,7 +167,10 @@ def _applied(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """How often the mix takes each document, and into which shards: ``doc_id, source, size, source_size, target, taken, mix_shards``.
+    """How often the mix takes each document, and into which shards: ``doc_id, source, size, source_size, target, taken, block, mix_shards``.
+
+    ``block`` is the permuted block of its source that a document is in, and ``mix_shards`` the shards that the
+    splitting tree sends it to, one for each time that it is taken.
 
     Every document is one row, also those that the mix leaves out. Size is the number of words (null text: 0).
     Sources, null among them, are ordered and weighed as ``targets`` says. A document is taken as often as whole
@@ -184,7 +187,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed
     cut = Cut(spark, "mixing")
     rows = cut(_keyed(docs.select("doc_id", "text", "source"), seed).withColumn("size", n_words()).drop("text"))
     out = _applied(rows, _plan(spark, rows, cut, shards, seed))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.size("mix_shards") * F.col("size")).cast("long").alias("taken"), "mix_shards")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.size("mix_shards") * F.col("size")).cast("long").alias("taken"), F.col("_b").alias("block"), "mix_shards")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

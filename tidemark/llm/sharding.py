@@ -7,12 +7,19 @@ change their slot.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import fresh
+from .common import Cut, exists
+
 SLOTS = 8192
+#: Parts that the rows of a virtual slot are dealt into by their CRC.
+PARTS = 32
+#: Equal rows that one row stands for until the end.
+RUN = 100_000
 
 
 @dataclass(frozen=True)
@@ -90,6 +97,14 @@ class SlotMap:
         rows = df.where(F.col("version") == version).select("slot", "shard").collect()
         return cls(tuple(shard for _, shard in sorted(map(tuple, rows))), version)
 
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, n_shards: int, slots: int = SLOTS) -> SlotMap:
+        """The map for a number of shards as the table at ``path`` has it, stored there first if it is new."""
+        made = cls.of(n_shards, slots)
+        if not exists(spark, f"{path}/version={made.version}"):
+            made.save(spark, path)
+        return cls.load(spark, path, made.version)
+
     def shard_of(self, slot: F.Column) -> F.Column:
         """A constant array, as long as there are slots, indexed by the slot."""
         return F.element_at(F.split(F.lit(",".join(map(str, self.shards))), ","), (slot + 1).cast("int")).cast("int")
@@ -105,32 +120,51 @@ def slot_bytes(docs: DataFrame, key: str = "doc_id", size: str = "size", slots:
     return docs.groupBy(slot_of(F.col(key), slots).alias("vslot")).agg(F.count("*").alias("n_rows"), F.sum(size).alias("n_bytes"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int, slots: int = SLOTS) -> DataFrame:
-    """All of ``documents`` with their slot, shard and place in it, and the shard they have with one shard more.
+def shard_documents(docs: DataFrame, n_shards: int, path: str | None = None, slots: int = SLOTS) -> DataFrame:
+    """All of ``documents`` with their virtual slot, shard and place in it, and where growing or rebalancing would put them.
+
+    Columns: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, slot_bytes, map_version,
+    balanced_shard, balanced_version``. The law is ``key``: doc_id and the number of shards decide. ``size`` is the
+    text's UTF-8 bytes (null: none) plus 16. ``slot`` numbers the rows of a shard from 0 without gaps, by virtual
+    slot, CRC and doc_id. ``grown_shard`` is the shard with one shard more. Repeated rows get places of their own,
+    rows with a null doc_id share a virtual slot, an empty table gives no rows. Columns other than doc_id and text
+    are not looked at.
 
-    The law is ``key``: doc_id and the number of shards decide. ``size`` is the text's UTF-8 bytes (null: none)
-    plus 16. ``slot`` numbers the rows of a shard from 0 without gaps, by virtual slot, CRC and doc_id. Repeated
-    rows get places of their own, rows with a null doc_id share a virtual slot, an empty table gives no rows.
-    Columns other than doc_id and text are not looked at.
+    The slot map is read from the table of versions ``by-key`` in the folder ``path`` (a new one if none is given),
+    where it is stored first if there is none for so many shards. ``slot_bytes`` are summed by virtual slot; from
+    them the map is rebalanced and stored as the next version of the table ``by-bytes``; its shards are
+    ``balanced_shard``, which a mover of whole slots would follow.
 
-    One shuffle of 32-byte rows by virtual slot and a part of the CRC; the counts that place a slot in its shard
-    are at most 64 per slot, whatever the number of documents, and so may be broadcast.
+    Equal rows are counted before the shuffle, by virtual slot and a part of the CRC, and become rows again at the end,
+    so no key is gathered. The counts that place a slot in its shard are at most PARTS per slot, whatever the
+    number of documents, and so may be broadcast; the driver sees one number for each slot.
     """
-    now, then = SlotMap.of(n_shards, slots), SlotMap.of(n_shards + 1, slots)
-    parts = 4
+    spark = docs.sparkSession
+    path = path or fresh(spark, "slot-map")
+    now = SlotMap.stored(spark, f"{path}/by-key", n_shards, slots)
+    cut = Cut(spark, "sharding")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         slot_of(F.col("doc_id"), slots).alias("vslot"),
-    ).withColumn("part", (F.col("text_crc32") % parts).cast("int"))
-    counts = rows.groupBy("vslot", "part").agg(F.count("*").alias("n_rows"), F.sum("size").alias("slot_bytes"))
-    placed = counts.withColumn("shard", now.shard_of(F.col("vslot"))).withColumn("grown_shard", then.shard_of(F.col("vslot")))
+    ).withColumn("part", (F.col("text_crc32") % PARTS).cast("int"))
+    counts = cut(rows.groupBy("vslot", "part").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes")))
+    load = {r.vslot: r.n for r in counts.groupBy("vslot").agg(F.sum("n_bytes").alias("n")).collect()}  # at most as many as slots
+    grown, balanced = now.grow(), now.rebalance(load)
+    by_bytes = f"{path}/by-bytes"
+    if exists(spark, by_bytes):
+        balanced = replace(balanced, version=max(now.version, SlotMap.load(spark, by_bytes).version) + 1)
+    balanced.save(spark, by_bytes)
+    placed = counts.withColumn("shard", now.shard_of(F.col("vslot")))
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.select("vslot", "part", "shard", "grown_shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("vslot", "part").orderBy("text_crc32", "doc_id", "size")
-    return (
-        rows.withColumn("place", F.row_number().over(own) - 1)
-        .join(F.broadcast(placed), ["vslot", "part"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), "grown_shard", "vslot", F.lit(now.version).alias("map_version"))
-    )
+    placed = placed.select("vslot", "part", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first"), F.sum("n_bytes").over(Window.partitionBy("shard", "vslot")).alias("slot_bytes"))
+    keys = ["vslot", "part", "text_crc32", "doc_id", "size"]
+    own = Window.partitionBy("vslot", "part").orderBy("text_crc32", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("place", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    each = each.select(*keys, F.explode(F.expr(f"transform(sequence(0L, (n - 1) div {RUN}), i -> struct(place + i * {RUN} AS from, least(n - i * {RUN}, {RUN}L) AS n))")).alias("run"))
+    each = each.select(*keys, F.explode(F.expr("sequence(run.from, run.from + run.n - 1)")).alias("place"))
+    return each.join(F.broadcast(placed), ["vslot", "part"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), grown.shard_of(F.col("vslot")).alias("grown_shard"),
+        "vslot", "slot_bytes", F.lit(now.version).alias("map_version"), balanced.shard_of(F.col("vslot")).alias("balanced_shard"), F.lit(balanced.version).alias("balanced_version"),
+    )
