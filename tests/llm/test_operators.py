@@ -146,6 +146,9 @@ def test_embedding_links(spark, monkeypatch, cell):
     np.fill_diagonal(near, False)
     found = np.array([got[i]["n_links"] for i in range(len(x))])
     assert (found <= near.sum(1)).all() and found.sum() >= 0.97 * near.sum()
+    root = brute.components(len(x), list(zip(*np.nonzero(near), strict=True)))
+    assert all(root[got[i]["component_id"]] == root[i] and got[i]["kept"] == (got[i]["component_id"] == i) for i in range(len(x)))
+    assert sum(got[i]["component_id"] == root[i] for i in range(len(x))) >= 0.97 * len(x)
     empty = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert embeddings.near_duplicates(spark, empty).count() == 0
 

@@ -42,15 +42,26 @@ def test_op1(spark, texts):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in by_id(spark, "op1_simhash_neardup").items()} == {i: (f"{fps[n]:016x}", ids[root[n]]) for n, i in enumerate(ids)}
 
 
-def test_op2(spark):
-    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+@pytest.mark.parametrize("planted", [False, True])
+def test_op2(spark, tmp_path, planted):
+    at, rows = DATA, spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    if planted:  # the tables of this folder have no links
+        at, rng = f"file://{tmp_path}", np.random.default_rng(17)
+        new = [(100_000 + 50 * i + j, r["label"], [float(x) for x in np.array(r["embedding"]) + rng.normal(size=len(r["embedding"])) * s * np.std(r["embedding"])]) for i, r in enumerate(rows[:40]) for j, s in enumerate([0, 0.02, 0.05, 0.1] + [0.08] * (30 if i == 0 else 0))]
+        spark.createDataFrame([*map(tuple, rows), *new], "vec_id long, label string, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+        rows = spark.read.parquet(f"{at}/embeddings.parquet").collect()
     x = np.array([r["embedding"] for r in rows], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     label = np.array([r["label"] for r in rows])
     near = (x @ x.T >= 0.93) & (label[:, None] == label)
     np.fill_diagonal(near, False)
-    got = by_id(spark, "op2_lattice_neardup")
-    assert {r["vec_id"]: int(n) for r, n in zip(rows, near.sum(1), strict=True)} == {i: r["n_links"] for i, r in got.items()}
+    root = brute.components(len(rows), list(zip(*np.nonzero(near), strict=True)))
+    ids = [r["vec_id"] for r in rows]
+    least = {c: min(i for i, r in zip(ids, root, strict=True) if r == c) for c in set(root)}
+    want = {i: (int(n), least[c], least[c] == i) for i, n, c in zip(ids, near.sum(1), root, strict=True)}
+    got = {r["vec_id"]: r for r in QUERIES["op2_lattice_neardup"](spark, at).collect()}
+    assert want == {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()}
+    assert planted == (sum(not kept for _, _, kept in want.values()) > 100)
 
 
 def test_op4_roles_of_held_out_conversations(spark):

@@ -73,54 +73,65 @@ def cells(unit: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unit(raw: list[bytes], size: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, size)
+def _unit(raw: list[bytes], size: int, kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, size).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def packed(vectors: DataFrame) -> DataFrame:
-    """``vec_id, rid, label, vec``: rid names label and components, vec holds them as doubles; both null where a vector links with nothing."""
+    """``vec_id, rid, label, vec``: rid names label and components, vec holds them as they came, floats or doubles; both null where a vector links with nothing."""
+    kind = _kind(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, vecs = [], []
             for label, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ok = label is not None and x and None not in x
-                v = np.array(x, np.float64) + 0.0 if ok else None  # no negative zeros
+                v = np.array(x, kind) + np.zeros(1, kind) if ok else None  # no negative zeros
                 ok = ok and np.isfinite(v).all() and v.any()
                 vecs.append(v.tobytes() if ok else None)
                 rids.append(hashlib.md5(label.encode() + b"\0" + vecs[-1], usedforsecurity=False).digest() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rids, pa.binary()), batch.column(1), pa.array(vecs, pa.binary())], ["vec_id", "rid", "label", "vec"])
 
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    return vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(run, f"vec_id {kind}, rid binary, label string, vec binary")
+    name = vectors.schema["vec_id"].dataType.simpleString()
+    return vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(run, f"vec_id {name}, rid binary, label string, vec binary")
+
+
+def _kind(vectors: DataFrame) -> str:
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
 
 def _salt(labels: list[str]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.md5(x.encode(), usedforsecurity=False).digest()[:8], "little", signed=True) for x in labels], np.int64)
 
 
-def _visits(unique: DataFrame) -> DataFrame:
+def _keyed(unique: DataFrame, kind: str) -> DataFrame:
+    """``unique`` with ``keys``: of each table the cell that a vector is at home in, then those that it visits.
+
+    They are computed once and go with the vector from here on, so that all tasks agree on them.
+    """
+    bytes_each = int(kind[2:])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, labels = batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            for size in {len(x) for x in raw}:
-                own = [i for i, x in enumerate(raw) if len(x) == size]
+            labels, vecs = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("label", "vec"))
+            keys = np.empty((len(batch), TABLES * (PROBES + 1)), np.int64)
+            for size in {len(x) for x in vecs}:
+                own = [i for i, x in enumerate(vecs) if len(x) == size]
                 for at in range(0, len(own), 2000):
                     part = own[at : at + 2000]
-                    keys = cells(_unit([raw[i] for i in part], size // 8), _salt([f"{size}/{labels[i]}" for i in part]))
-                    shape = (len(part), TABLES, PROBES + 1)
-                    rid = pa.array([batch.column(0)[i].as_py() for i in part], pa.binary()).take(pa.array(np.repeat(np.arange(len(part)), TABLES * (PROBES + 1))))
-                    table = np.broadcast_to(np.arange(TABLES, dtype=np.int8)[None, :, None], shape).ravel()
-                    home = np.broadcast_to(np.arange(PROBES + 1)[None, None, :] == 0, shape).ravel()
-                    yield pa.RecordBatch.from_arrays([rid, pa.array(keys.ravel()), pa.array(table), pa.array(home)], ["rid", "key", "table", "home"])
+                    found = cells(_unit([vecs[i] for i in part], size // bytes_each, kind), _salt([f"{size}/{labels[i]}" for i in part]))
+                    keys[part] = found.reshape(len(part), -1)
+            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * keys.shape[1])
+            yield batch.append_column("keys", pa.ListArray.from_arrays(ends, pa.array(keys.ravel())))
 
-    return unique.select("rid", "label", "vec").mapInArrow(run, "rid binary, key long, table byte, home boolean")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in unique.schema)
+    return unique.mapInArrow(run, f"{kinds}, keys array<long>")
 
 
-def _meet(own: list[tuple], cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links and smallest link among members of one group ``(g, rid, label, vec, m, table, home, key, block)``, of pairs that belong to it."""
+def _meet(own: list[tuple], cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Links and smallest link among members of one group ``(g, rid, label, vec, m, table, home, key, block, keys)``, of pairs that belong to it."""
     n = len(own)
     size = len(own[0][3])
     same_size = np.array([len(r[3]) == size for r in own])
@@ -128,13 +139,12 @@ def _meet(own: list[tuple], cosine: float) -> tuple[np.ndarray, np.ndarray]:
     if not same_size.all():  # two cells of one hash: nothing to compare between them
         for s in {len(r[3]) for r in own}:
             at = [i for i in range(n) if len(own[i][3]) == s]
-            c, r = _meet([own[i] for i in at], cosine)
+            c, r = _meet([own[i] for i in at], cosine, kind)
             count[at], root[at] = c, np.array(at)[r]
         return count, root
-    unit = _unit([r[3] for r in own], size // 8)
+    unit = _unit([r[3] for r in own], size // int(kind[2:]), kind)
     home, block = np.array([r[6] for r in own]), np.array([r[8] for r in own])
-    labels = [r[2] for r in own]
-    number = np.unique(np.array(labels, object), return_inverse=True)[1]
+    number = np.unique(np.array([r[2] for r in own], object), return_inverse=True)[1]
     m = np.array([r[4] for r in own])
     pairs = []
     for at in range(0, n, 512):
@@ -148,17 +158,14 @@ def _meet(own: list[tuple], cosine: float) -> tuple[np.ndarray, np.ndarray]:
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
     if len(a):
         # a pair may meet in several cells; it belongs to the first, by table, where the later of the two is at home before the earlier
-        used = np.unique(np.concatenate([a, b]))
-        place = np.zeros(n, np.int64)
-        place[used] = np.arange(len(used))
-        keys = cells(unit[used], _salt([f"{size}/{labels[i]}" for i in used]))
+        keys = np.array([r[9] for r in own], np.int64).reshape(n, TABLES, PROBES + 1)
         rid = [r[1] for r in own]
         swap = np.array([rid[i] > rid[j] for i, j in zip(a, b, strict=True)])
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         mine = np.zeros(len(a), bool)
         open_ = np.ones(len(a), bool)
         table, key = own[0][5], own[0][7]
-        ka, kb = keys[place[a]], keys[place[b]]
+        ka, kb = keys[a], keys[b]
         for t in range(TABLES):
             for x, y in ((ka, kb), (kb, ka)):
                 hit = open_ & (x[:, t] == y[:, t, :1]).any(1)  # x visits the home of y
@@ -178,7 +185,7 @@ def _meet(own: list[tuple], cosine: float) -> tuple[np.ndarray, np.ndarray]:
     return count, root
 
 
-def _matched(rows: DataFrame, cosine: float) -> DataFrame:
+def _matched(rows: DataFrame, cosine: float, kind: str) -> DataFrame:
     """``rid, n, root`` for vectors with links, group by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +198,7 @@ def _matched(rows: DataFrame, cosine: float) -> DataFrame:
                 while to < len(own) and own[to][0] == own[at][0]:
                     to += 1
                 group = own[at:to]
-                count, first = _meet(group, cosine) if len(group) > 1 else (np.zeros(1), [0])
+                count, first = _meet(group, cosine, kind) if len(group) > 1 else (np.zeros(1), [0])
                 for i in np.flatnonzero(count):
                     rid.append(group[i][1])
                     n.append(int(count[i]))
@@ -211,7 +218,7 @@ def _matched(rows: DataFrame, cosine: float) -> DataFrame:
         if held:
             yield done(held)
 
-    return rows.select("g", "rid", "label", "vec", "m", "table", "home", "key", "block").mapInArrow(run, "rid binary, n long, root binary")
+    return rows.select("g", "rid", "label", "vec", "m", "table", "home", "key", "block", "keys").mapInArrow(run, "rid binary, n long, root binary")
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -232,15 +239,18 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     """
     cut = Cut(spark, "embeddings")
     rows = cut(packed(vectors))
-    unique = cut(rows.where("rid IS NOT NULL").groupBy("rid").agg(F.count("*").alias("m"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("vec_id").alias("least")))
-    visits = cut(_visits(unique))
+    unique = rows.where("rid IS NOT NULL").groupBy("rid").agg(F.count("*").alias("m"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("vec_id").alias("least"))
+    unique = cut(_keyed(unique, _kind(vectors)))
+    visits = unique.select("rid", F.posexplode("keys").alias("i", "key"))
+    visits = visits.select("rid", "key", F.floor(F.col("i") / (PROBES + 1)).cast("byte").alias("table"), (F.col("i") % (PROBES + 1) == 0).alias("home"))
     sizes = visits.groupBy("key", "table").agg(F.count("*").alias("k"), F.sum(F.col("home").cast("int")).alias("homes")).where("homes > 0 AND k > 1").select("key", "table", "k")
+    sizes = cut(sizes)
     met = visits.join(sizes, ["key", "table"]).withColumn("blocks", F.ceil(F.col("k") / CELL).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     met = met.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     met = met.withColumn("g", F.xxhash64("key", "table", F.least("block", "with"), F.greatest("block", "with"))).select("rid", "key", "table", "home", "block", "g")
-    met = met.join(unique.select("rid", "label", "vec", "m"), "rid").repartition("g").sortWithinPartitions("g", "table", "key")
-    found = cut(_matched(met, cosine))
+    met = met.join(unique.select("rid", "label", "vec", "m", "keys"), "rid").repartition("g").sortWithinPartitions("g", "table", "key")
+    found = cut(_matched(met, cosine, _kind(vectors)))
     links = found.groupBy("rid").agg(F.sum("n").alias("n"))
     roots = components(spark, found.select(F.col("rid").alias("a"), F.col("root").alias("b")), cut)
     of = unique.select("rid", "m", "least").join(links, "rid", "left").join(roots, F.col("rid") == F.col("node"), "left")
