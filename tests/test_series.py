@@ -240,3 +240,59 @@ def test_regression_on_several_values(spark):
     for k, beta in got.items():
         want = np.linalg.lstsq(x[k - 19 : k + 1], y[k - 19 : k + 1], rcond=None)[0]
         assert beta == pytest.approx(list(want), abs=1e-8)
+
+
+def test_lookups_and_interpolation_are_not_quadratic(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import navigation as nav
+    from tidemark.plans.frames import Lookup
+
+    s = Series.of(spark.range(400_000).select((F.col("id") * 2).alias("k"), F.col("id").cast("double").alias("v")), "k", "v")
+    probes = spark.range(400_000).select((F.col("id") * 2 - 1).alias("k"))
+    for lookup, off in ((Lookup.GE, 1), (Lookup.GT, 1), (Lookup.LE, -1), (Lookup.LT, -1)):
+        begun = time.perf_counter()
+        out = nav.find_many(s, probes, lookup)
+        assert out.where(F.col("found") != F.col("probe") + off).count() == 0 and out.count() >= 399_999
+        assert time.perf_counter() - begun < 60
+    begun = time.perf_counter()
+    assert s.interpolate().at(probes).where(F.abs(F.col("v") * 2 - F.col("k")) > 1e-6).count() == 0
+    assert time.perf_counter() - begun < 60
+
+
+def test_late_rows_fail_a_stream_that_says_so(spark):
+    from tidemark.streaming import running, stateful
+
+    make = lambda rows: spark.createDataFrame(rows, "p int, k long, v double")
+    steps = [make([(1, 5, 1.0), (1, 6, 2.0)]), make([(1, 6, 3.0)])]
+    with pytest.raises(Exception, match="(?s)OutOfOrderError|StreamingQueryException"):
+        running.stepped(spark, steps, lambda live: stateful.moving_mean(live, "p", 1, late="fail"), "fails")
+    kept = running.stepped(spark, steps, lambda live: stateful.moving_mean(live, "p", 1), "drops")
+    assert sorted((r["k"], r["v"]) for r in kept.collect()) == [(5, 1.0), (6, 2.0)]
+
+
+def test_answers_that_came_too_early_fail(spark):
+    from tidemark.streaming import running, stateful
+
+    make = lambda rows: spark.createDataFrame(rows, "p int, k long, v double, side string")
+    steps = [make([(1, 1, 7.0, "r"), (1, 5, 1.0, "l")]), make([(1, 3, 9.0, "r")])]
+    with pytest.raises(Exception, match="(?s)OutOfOrderError|StreamingQueryException"):
+        running.stepped(spark, steps, lambda live: stateful.carried(live, "p"), "early")
+
+
+def test_only_new_files_are_streamed(spark, tmp_path):
+    import os
+    import time
+
+    from tidemark.streaming import running
+
+    path = f"{tmp_path}/rows"
+    spark.range(5).write.parquet(path)
+    old = time.time() - 3600
+    for name in os.listdir(path):
+        os.utime(f"{path}/{name}", (old, old))
+    live = running.source(spark, f"file://{path}", new_only=True)
+    spark.range(100, 103).write.mode("append").parquet(path)
+    assert sorted(r["id"] for r in running.drained(live, "new").collect()) == [100, 101, 102]

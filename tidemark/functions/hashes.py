@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,20 @@ def crc32c(text: pd.Series) -> pd.Series:
     return pd.Series(crc32c_bytes([x.encode() if isinstance(x, str) else x for x in text]))
 
 
+def xxh64(text: Column, seed: int = 42) -> Column:
+    """XXH64 of a string's UTF-8, as a signed number. Spark has it natively for the seed 42."""
+    if seed == 42:
+        return F.xxhash64(text)
+
+    @F.pandas_udf(T.LongType())
+    def run(text: pd.Series) -> pd.Series:
+        from xxhash import xxh64_intdigest
+
+        return text.map(lambda x: None if x is None else (xxh64_intdigest(x.encode(), seed) + 2**63) % 2**64 - 2**63)
+
+    return run(text)
+
+
 @F.pandas_udf(T.StringType())
 def blake2b(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=32).hexdigest())

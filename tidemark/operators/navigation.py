@@ -42,17 +42,19 @@ def try_find(s: Series, key: Column | int, lookup: Lookup) -> DataFrame:
 
 
 def find_many(s: Series, probes: DataFrame, lookup: Lookup) -> DataFrame:
-    """The nearest observed row for each of many keys ``(part, k)``: probes and rows go through one window together."""
+    """The nearest observed row for each of many keys ``(part, k)``: probes and rows go through one window together.
+
+    Keys are put in the order in which the wanted row comes before its probe, so each frame grows with the one before.
+    """
     if lookup is Lookup.EQ:
         return s.at(probes).select(*s.node.part, F.col("k").alias("probe"), F.col("k").alias("found"), "v")
     part = list(s.node.part)
     rows = s.node.observed().select(*part, "k", F.struct("k", "v").alias("r"))
     both = probes.select(*part, "k", F.lit(True).alias("p")).unionByName(rows.withColumn("p", F.lit(False)), allowMissingColumns=True)
     back = lookup in (Lookup.LT, Lookup.LE)
-    w = Window.partitionBy(*part).orderBy(F.col("k"))
     near = 0 if lookup in (Lookup.LE, Lookup.GE) else 1
-    frame = w.rangeBetween(Window.unboundedPreceding, -near) if back else w.rangeBetween(near, Window.unboundedFollowing)
-    found = (F.last if back else F.first)("r", ignorenulls=True).over(frame)
+    frame = Window.partitionBy(*part).orderBy("k" if back else F.desc("k")).rangeBetween(Window.unboundedPreceding, -near)
+    found = F.last("r", ignorenulls=True).over(frame)
     return both.withColumn("f", found).where("p AND f IS NOT NULL").select(*part, F.col("k").alias("probe"), F.col("f.k").alias("found"), F.col("f.v").alias("v"))
 
 
@@ -63,10 +65,11 @@ def get_at(s: Series, i: int) -> DataFrame:
     return s.node.observed().withColumn("_i", F.row_number().over(w)).where(F.col("_i") == n).drop("_i")
 
 
-def stride(s: Series, n: int) -> DataFrame:
-    """Each n-th row from the first, or from the last if n is negative."""
+def stride(s: Series, n: int, allow_partial: bool = False) -> DataFrame:
+    """Each n-th row from the first, or from the last if n is negative; allow_partial: a move that falls short ends at the row furthest on."""
     w = Window.partitionBy(*s.node.part).orderBy("k" if n > 0 else F.desc("k"))
-    return s.node.observed().withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") % abs(n) == 0).drop("_i")
+    out = s.node.observed().withColumn("_i", F.row_number().over(w) - 1).withColumn("_end", F.lead("k").over(w).isNull())
+    return out.where((F.col("_i") % abs(n) == 0) | (F.lit(allow_partial) & F.col("_end"))).drop("_i", "_end")
 
 
 def positions(s: Series) -> DataFrame:
@@ -75,12 +78,17 @@ def positions(s: Series) -> DataFrame:
 
 
 def subscribe(s: Series, position: str, key: Column | None = None) -> Series:
-    """The rows from where a subscription starts: "first", "last", "at", "after", "before", "at_or_after", "at_or_before"."""
+    """The rows from where a subscription starts: "first", "last", "new_only", "at", "after", "before", "at_or_after", "at_or_before".
+
+    new_only: what comes after all that is there, so nothing of a table; ``running.source`` has it for streams.
+    """
     if position == "first":
         return s
     if position == "last":
         last = s.node.observed().groupBy(*s.node.part).agg(F.max("k").alias("k"))
         return s._new(s.node.observed().join(last, s.node.on()))
+    if position == "new_only":
+        return s._new(s.node.observed().where(F.lit(False)))
     sides = {"at": (key, key, True, True), "after": (key, None, False, True), "before": (None, key, True, False), "at_or_after": (key, None, True, True), "at_or_before": (None, key, True, True)}
     return s.range(*sides[position])
 

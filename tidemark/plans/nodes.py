@@ -176,9 +176,9 @@ class Interpolate(Node):
     def at(self, keys: DataFrame) -> DataFrame:
         have = self.child.observed().select(*self.on(), F.lit(False).alias("_asked"), F.struct(F.col("k").alias("k"), F.col("v").alias("v")).alias("_row"))
         both = have.unionByName(keys.select(*self.on(), F.lit(True).alias("_asked")), allowMissingColumns=True)
-        w = Window.partitionBy(*self.part).orderBy("k")
-        left = F.last("_row", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-        right = F.first("_row", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+        # the row on each side is the last one in the order that leads to the key, so frames only grow
+        side = lambda order: F.last("_row", ignorenulls=True).over(Window.partitionBy(*self.part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+        left, right = side(F.asc("k")), side(F.desc("k"))
         out = both.withColumns({"_l": left, "_r": right}).where(F.col("_asked") & F.col("_l").isNotNull() & F.col("_r").isNotNull())
         share = (F.col("k") - F.col("_l.k")) / (F.col("_r.k") - F.col("_l.k"))
         line = F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * share

@@ -72,10 +72,15 @@ def agg7(spark: SparkSession, d: str) -> DataFrame:
     return bars.ohlcv(events(spark, d).withColumn("volume", F.lit(1).cast("long")), "k", "v", "volume", "day", 1, ("user_id",))
 
 
-@query("agg7_ohlcv_weak", "SELECT epoch_us(l_shipdate) // 604800000000 AS week, min(l_extendedprice) AS low, max(l_extendedprice) AS high, sum(l_quantity) AS volume FROM lineitem GROUP BY 1")
+@query(
+    "agg7_ohlcv_weak",
+    """WITH x AS (SELECT k, (k + 719162 * 86400000000) // 604800000000 * 604800000000 - 719162 * 86400000000 AS slice, p, q FROM (SELECT epoch_us(l_shipdate) AS k, l_extendedprice AS p, l_quantity AS q FROM lineitem)),
+    y AS (SELECT *, min(k) OVER (PARTITION BY slice) AS f, max(k) OVER (PARTITION BY slice) AS l FROM x)
+    SELECT slice, min(p) FILTER (WHERE k = f) AS open, max(p) AS high, min(p) AS low, max(p) FILTER (WHERE k = l) AS close, sum(q) AS volume FROM y GROUP BY 1""",
+)
 def agg7_weak(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(timekeys.to_micros("l_shipdate").alias("k"), F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("q"))
-    return rows.groupBy(F.floor(F.col("k") / (7 * DAY)).cast("long").alias("week")).agg(F.min("p").alias("low"), F.max("p").alias("high"), F.sum("q").alias("volume"))
+    return bars.ohlcv(rows, "k", "p", "q", "day", 7)
 
 
 @query("agg8_values", "SELECT event_type, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, count(value) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
@@ -183,7 +188,11 @@ def fn3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", timekeys.to_micros(timekeys.utc_to_zone(F.col("ts"), "nyse")).alias("local"), timekeys.to_micros(timekeys.zone_to_utc(F.col("ts"), "lse")).alias("utc"))
 
 
-@query("fn4_crc32c")
+@query(
+    "fn4_crc32c",
+    """WITH t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END) AS v FROM range(256) r(i)))
+    SELECT event_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(props) + 1), lambda i: ord(substr(props, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM events, t""",
+)
 def fn4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", hashes.crc32c(F.col("props")).alias("crc"))
 
@@ -193,6 +202,23 @@ def fn5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.sha2("props", 256).alias("sha"), F.md5("props").alias("md"))
 
 
+@query("fn5_xxhash", "SELECT event_id, true AS same, true AS seeded FROM events")
+def fn5_xxhash(spark: SparkSession, d: str) -> DataFrame:
+    """Spark's own hash and the library's agree on every row; another seed gives another hash, whose values for known bytes the tests have."""
+    text = F.concat("props", F.col("event_id").cast("string"))
+    library = hashes.xxh64(F.concat(text, F.lit("")), 43)
+    return table(spark, d, "events").select("event_id", (hashes.xxh64(text) == F.xxhash64(text)).alias("same"), (library != hashes.xxh64(text)).alias("seeded"))
+
+
+# The published digests of "abc", for 32 bytes of BLAKE2b and for XXH64 with the seed 0.
+_ABC_BLAKE2B, _ABC_XXH64 = "bddd813c634239723171ef3fee98579b94964e3bb1cb3e427262c8c068d52319", 0x44BC2CF5AD770999
+
+
+@query("fn5_known_digests", f"SELECT n_nationkey, '{_ABC_BLAKE2B}' AS blake, {_ABC_XXH64} AS xx FROM nation")
+def fn5_known(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", hashes.blake2b(F.lit("abc")).alias("blake"), hashes.xxh64(F.lit("abc"), 0).alias("xx"))
+
+
 @query("fn5_blake2b")
 def fn5_blake(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", hashes.blake2b(F.col("props")).alias("digest"))
@@ -237,8 +263,52 @@ def udf2(spark: SparkSession, d: str) -> DataFrame:
     return lo_hi.map(lambda s: F.round(s["b"] - s["a"], 4)).to_df()
 
 
-@query("udf3_table", "SELECT user_id, k, i::INT AS i, round(v / i, 4) AS v FROM e, range(1, 4) t(i)")
+class _Spread:
+    """A user's online operator: the sum of a window's distances from 50."""
+
+    def __init__(self):
+        self.total = 0.0
+
+    def add_right(self, k, v):
+        self.total += abs(v - 50)
+
+    def remove_left(self, k, v):
+        self.total -= abs(v - 50)
+
+    def value(self):
+        return self.total
+
+
+@query("udf2_online", "SELECT user_id, k, round(sum(abs(v - 50)) OVER (PARTITION BY user_id ORDER BY k ROWS 4 PRECEDING), 4) AS v FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k) >= 5")
+def udf2_online(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.custom import moving_online
+
+    return moving_online(user_series(spark, d), 5, _Spread).withColumn("v", rounded("v"))
+
+
+class _Records:
+    """A user's cursor: the rows whose value is greater than all before, and at the end how many rows there were."""
+
+    def __init__(self):
+        self.most, self.n, self.last = float("-inf"), 0, None
+
+    def move(self, k, v):
+        self.n, self.last = self.n + 1, k
+        if v > self.most:
+            self.most = v
+            return [("record", k, v)]
+        return []
+
+    def end(self):
+        return [("rows", self.last, float(self.n))]
+
+
+@query(
+    "udf3_cursor",
+    """SELECT user_id, 'record' AS what, k, v FROM (SELECT *, max(v) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e) WHERE before IS NULL OR v > before
+    UNION ALL SELECT user_id, 'rows', max(k), count(*)::DOUBLE FROM e GROUP BY user_id""",
+)
 def udf3(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.custom import expanded
+    from ..functions.custom import cursor
 
-    return expanded(user_series(spark, d), 3).withColumn("v", rounded("v"))
+    return cursor(user_series(spark, d), _Records, "what string, k long, v double")

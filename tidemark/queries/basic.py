@@ -21,7 +21,12 @@ def _mid(s: Series) -> F.Column:
     return s.to_df().agg(F.expr("(min(k) + max(k)) div 2")).scalar()
 
 
-@query("src1_from_pairs", "SELECT user_id, k, v FROM e")
+@query("src1_from_pairs", "SELECT 1000 - 3 * i AS k, 0.25 * i AS v FROM range(500) t(i)")
+def src1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return Series.from_pairs(spark, [(1000 - 3 * i, 0.25 * i) for i in range(500)]).to_df()
+
+
+@query("src1_from_rows", "SELECT user_id, k, v FROM e")
 def src1(spark: SparkSession, d: str) -> DataFrame:
     return Series.of(events(spark, d), "k", "v", ("user_id",), check=True).to_df()
 
@@ -117,6 +122,19 @@ def nav5_many(spark: SparkSession, d: str) -> DataFrame:
     return nav.find_many(user_series(spark, d), probes, Lookup.LT)
 
 
+def _find_many(name: str, side: str, nearest: str, lookup: Lookup) -> None:
+    sql = f"SELECT p.user_id, p.k AS probe, {nearest}(e.k) AS found, arg_{nearest}(e.v, e.k) AS v FROM (SELECT user_id, k + 1 - event_id % 3 AS k FROM e WHERE event_type = 'view') p JOIN e ON e.user_id = p.user_id AND e.k {side} p.k GROUP BY 1, 2"
+
+    @query(f"nav5_try_find_many_{name}", sql)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        probes = events(spark, d, "event_type", "event_id").where("event_type = 'view'").select("user_id", (F.col("k") + 1 - F.col("event_id") % 3).alias("k"))
+        return nav.find_many(user_series(spark, d), probes, lookup)
+
+
+for _name, _side, _nearest in (("le", "<=", "max"), ("eq", "=", "max"), ("ge", ">=", "min"), ("gt", ">", "min")):
+    _find_many(_name, _side, _nearest, Lookup[_name.upper()])
+
+
 @query("nav6_try_get_at", "SELECT user_id, k, v FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k) = 4")
 def nav6(spark: SparkSession, d: str) -> DataFrame:
     return nav.get_at(user_series(spark, d), 3)
@@ -127,6 +145,14 @@ def nav7(spark: SparkSession, d: str) -> DataFrame:
     return nav.stride(user_series(spark, d), 5)
 
 
+@query(
+    "nav7_move_stride_back_partial",
+    """SELECT user_id, k, v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e) WHERE i % 4 = 0 OR i = n - 1""",
+)
+def nav7_back(spark: SparkSession, d: str) -> DataFrame:
+    return nav.stride(user_series(spark, d), -4, allow_partial=True)
+
+
 @query("nav8_iterate", "SELECT user_id, k, v, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS forward, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) - 1 AS backward FROM e")
 def nav8(spark: SparkSession, d: str) -> DataFrame:
     return nav.positions(user_series(spark, d))
@@ -138,6 +164,26 @@ def nav9(spark: SparkSession, d: str) -> DataFrame:
     return nav.subscribe(s, "at_or_after", _mid(s)).to_df()
 
 
+#: A key that is there: the last purchase of all.
+_AT = "(SELECT max(k) FROM e WHERE event_type = 'purchase')"
+
+
+@query(
+    "nav9_all_positions",
+    f"""SELECT position, count(e.k) AS n, coalesce(min(e.k), 0) AS first_key, coalesce(max(e.k), 0) AS last_key FROM e RIGHT JOIN (VALUES ('first'), ('last'), ('new_only'), ('at'), ('after'), ('before'), ('at_or_after'), ('at_or_before')) p(position)
+    ON CASE position WHEN 'first' THEN true WHEN 'last' THEN (e.user_id, e.k) IN (SELECT (user_id, max(k)) FROM e GROUP BY user_id) WHEN 'new_only' THEN false
+    WHEN 'at' THEN e.k = {_AT} WHEN 'after' THEN e.k > {_AT} WHEN 'before' THEN e.k < {_AT} WHEN 'at_or_after' THEN e.k >= {_AT} ELSE e.k <= {_AT} END GROUP BY 1""",
+)
+def nav9_all(spark: SparkSession, d: str) -> DataFrame:
+    s = user_series(spark, d)
+    key = events(spark, d, "event_type").where("event_type = 'purchase'").agg(F.max("k")).scalar()
+    out = None
+    for position in ("first", "last", "new_only", "at", "after", "before", "at_or_after", "at_or_before"):
+        one = nav.subscribe(s, position, key).to_df().agg(F.lit(position).alias("position"), F.count("k").alias("n"), F.coalesce(F.min("k"), F.lit(0)).alias("first_key"), F.coalesce(F.max("k"), F.lit(0)).alias("last_key"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("nav10_metadata", "SELECT count(*) AS row_count, count(*) = 0 AS is_empty, false AS is_continuous FROM e")
 def nav10(spark: SparkSession, d: str) -> DataFrame:
     return nav.metadata(user_series(spark, d))
@@ -194,9 +240,9 @@ def rng2(spark: SparkSession, d: str) -> DataFrame:
     return daily_orders(spark, d).after(9500).to_df()
 
 
-@query("rng3_before", "SELECT k, v FROM o WHERE k < 9000")
+@query("rng3_before", "SELECT k, v FROM o WHERE k < 9300")
 def rng3(spark: SparkSession, d: str) -> DataFrame:
-    return daily_orders(spark, d).before(9000, incl=False).to_df()
+    return daily_orders(spark, d).before(9300, incl=False).to_df()
 
 
 @query("rng4_range_merge", "SELECT k, v FROM o WHERE k >= 8800 AND k <= 9200")
@@ -204,9 +250,9 @@ def rng4(spark: SparkSession, d: str) -> DataFrame:
     return daily_orders(spark, d).range(8500, 9200).range(8800, 9900).to_df()
 
 
-@query("rng5_range_under_map", "SELECT k, round(v / 2, 4) AS v FROM o WHERE k >= 9000 AND k <= 9100")
+@query("rng5_range_under_map", "SELECT k, round(v / 2, 4) AS v FROM o WHERE k >= 9200 AND k <= 9400")
 def rng5(spark: SparkSession, d: str) -> DataFrame:
-    return daily_orders(spark, d).map(lambda v: F.round(v / 2, 4)).range(9000, 9100).to_df()
+    return daily_orders(spark, d).map(lambda v: F.round(v / 2, 4)).range(9200, 9400).to_df()
 
 
 def _scalar(name: str, sql: str, f) -> None:

@@ -91,6 +91,19 @@ def sink4(spark: SparkSession, d: str) -> DataFrame:
     return df.select("vec_id", (encodings.unshuffled(encodings.shuffled(F.col("raw"), F.lit(8)), F.lit(8)) == F.col("raw")).alias("same"))
 
 
+_BYTES = "(props || event_id)"
+
+
+@query(
+    "sink4_byte_shuffle_bytes",
+    f"""SELECT event_id, array_to_string(list_transform(range(n * 4), lambda j: substr(s, (j % n) * 4 + j // n + 1, 1)), '') || substr(s, n * 4 + 1) AS dealt
+    FROM (SELECT event_id, {_BYTES} AS s, length({_BYTES}) // 4 AS n FROM events)""",
+)
+def sink4_bytes(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.encode(F.concat("props", F.col("event_id").cast("string")), "UTF-8")
+    return table(spark, d, "events").select("event_id", F.decode(encodings.shuffled(raw, F.lit(4)), "UTF-8").alias("dealt"))
+
+
 @query("sink5_delta_encode", "SELECT k, round(v - coalesce(lag(v) OVER (ORDER BY k), 0), 2) AS delta FROM o")
 def sink5_encode(spark: SparkSession, d: str) -> DataFrame:
     return encodings.delta_encoded(daily_orders(spark, d)).to_df(value="delta").withColumn("delta", F.round("delta", 2))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timekeys
 from ..series import Series
-from . import daily_orders, events, query, rounded, table, type_series
+from . import daily_orders, events, query, rounded, shipments, table, type_series
 
 _T = "t AS (SELECT user_id, k, v, event_type AS x FROM e)"
 
@@ -66,9 +66,15 @@ def jon2(spark: SparkSession, d: str) -> DataFrame:
     return (type_series(spark, d, "purchase") + type_series(spark, d, "click").repeat()).map(rounded).to_df()
 
 
-@query("jon3_zip_left_fill", "SELECT user_id, k, round(10.0 - v, 4) AS v FROM e WHERE event_type = 'view'")
+@query(
+    "jon3_zip_left_fill",
+    """SELECT s.l_partkey, s.k, round(coalesce(r.q, 10.0) - s.v, 2) AS v FROM s LEFT JOIN
+    (SELECT l_partkey, epoch_us(l_shipdate) // 86400000000 AS k, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) r ON s.l_partkey = r.l_partkey AND s.k = r.k""",
+)
 def jon3(spark: SparkSession, d: str) -> DataFrame:
-    return (type_series(spark, d, "error").fill(10.0) - type_series(spark, d, "view")).map(rounded).to_df()
+    day = F.floor(timekeys.to_micros("l_shipdate") / 86_400_000_000).cast("long")
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey", day.alias("k")).agg(F.sum("l_quantity").alias("v"))
+    return (Series.of(returned, "k", "v", ("l_partkey",)).fill(10.0) - shipments(spark, d)).map(lambda v: rounded(v, 2)).to_df()
 
 
 @query(

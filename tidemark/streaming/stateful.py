@@ -4,32 +4,99 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _in_order(chunks: Iterator[pd.DataFrame], last: float) -> pd.DataFrame:
-    """A trigger's rows in key order, without those that a series would refuse: at or before its last key."""
-    rows = pd.concat(list(chunks)).sort_values("k", kind="stable").drop_duplicates("k")
-    return rows[rows.k > last]
+class OutOfOrderError(ValueError):
+    """A row at or before the last key of its series, where such rows are to fail the query."""
 
 
-def moving_mean(rows: DataFrame, part: str, count: int, incomplete: bool = False) -> DataFrame:
+def _in_order(chunks: Iterator[pd.DataFrame], last: float, late: str = "drop") -> pd.DataFrame:
+    """A trigger's rows in key order, without those that a series would refuse: at or before its last key.
+
+    late: "drop" leaves them out (``late_rows`` reports them), "fail" ends the query.
+    """
+    rows = pd.concat(list(chunks)).sort_values("k", kind="stable")
+    refused = rows.k.duplicated() | (rows.k <= last)
+    if late == "fail" and refused.any():
+        raise OutOfOrderError(f"{int(refused.sum())} rows at or before the last key {last}")
+    return rows[~refused]
+
+
+def late_rows(rows: DataFrame, part: str) -> DataFrame:
+    """``part, k, v, last``: the rows that the other operators leave out, with the last key that their series had."""
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else -(2**63)
+        own = pd.concat(list(chunks)).sort_values("k", kind="stable")
+        before = own.k.cummax().shift(1).fillna(last).clip(lower=last).astype("int64")
+        refused = own.k <= before
+        state.update((max(last, int(own.k.max())),))
+        yield pd.DataFrame({part: own[part], "k": own.k, "v": own.v, "last": before})[refused]
+
+    shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, v double, last long"
+    return rows.groupBy(part).applyInPandasWithState(step, shape, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def versioned(rows: DataFrame, part: str) -> DataFrame:
+    """``part, version, v, accepted``: appends that say which version they make; one that is not the next is refused and changes nothing.
+
+    The first version is 1. A trigger's appends are tried in order of version.
+    """
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else 0
+        own, accepted = pd.concat(list(chunks)).sort_values("version", kind="stable"), []
+        for version in own.version:
+            accepted.append(version == now + 1)
+            now += accepted[-1]
+        state.update((int(now),))
+        yield pd.DataFrame({part: own[part], "version": own.version, "v": own.v, "accepted": accepted})
+
+    shape = f"{part} {rows.schema[part].dataType.simpleString()}, version long, v double, accepted boolean"
+    return rows.groupBy(part).applyInPandasWithState(step, shape, "version long", "append", GroupStateTimeout.NoTimeout)
+
+
+def retained_sum(rows: DataFrame, part: str, time: str, width: int, late: str) -> DataFrame:
+    """``part, k, v``: at each row the sum over the rows at most ``width`` before it.
+
+    The state of a key is the rows that a later one may still need. It is given up when the watermark, ``late``
+    behind the newest row of all, has passed its last row by the width: no row that may come could reach it.
+    """
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        keys, values = state.get if state.exists else ([], [])
+        own = _in_order(chunks, keys[-1] if keys else -(2**63))
+        k, v = np.array([*keys, *own.k], np.int64), np.array([*values, *own.v], float)
+        first = np.searchsorted(k, k - width)
+        total = np.array([v[a : i + 1].sum() for i, a in enumerate(first)])
+        if len(k):
+            keep = np.searchsorted(k, k[-1] - width)
+            state.update((k[keep:].tolist(), v[keep:].tolist()))
+            state.setTimeoutTimestamp(max(int(k[-1] + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({part: [key[0]] * len(own), "k": k[len(keys) :], "v": total[len(keys) :]})
+
+    shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, v double"
+    return rows.withWatermark(time, late).groupBy(part).applyInPandasWithState(step, shape, "keys array<long>, vs array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def moving_mean(rows: DataFrame, part: str, count: int, incomplete: bool = False, late: str = "drop") -> DataFrame:
     """``part, k, v``: mean of the last ``count`` values; the state of a key is that many values and the last key."""
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held = state.get if state.exists else (-(2**63), [])
-        rows = _in_order(chunks, last)
-        values = [*held, *rows.v]
-        out = []
-        for i, k in enumerate(rows.k, len(held)):
-            own = values[max(0, i + 1 - count) : i + 1]
-            if incomplete or len(own) == count:
-                out.append((key[0], k, sum(own) / len(own)))
-        state.update((int(rows.k.iloc[-1]) if len(rows) else last, [float(x) for x in values[-(count - 1) :]] if count > 1 else []))
-        yield pd.DataFrame(out, columns=[part, "k", "v"])
+        rows = _in_order(chunks, last, late)
+        values = pd.Series([*held, *rows.v], dtype=float)
+        means = values.rolling(count, min_periods=1 if incomplete else count).mean().iloc[len(held) :].to_numpy()
+        state.update((int(rows.k.iloc[-1]) if len(rows) else last, values.iloc[len(values) - count + 1 :].tolist() if count > 1 and len(values) >= count else values.tolist() if count > 1 else []))
+        yield pd.DataFrame({part: [key[0]] * len(rows), "k": rows.k.to_numpy(), "v": means}).dropna(subset=["v"])
 
     shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, v double"
     return rows.groupBy(part).applyInPandasWithState(step, shape, "last long, held array<double>", "append", GroupStateTimeout.NoTimeout)
@@ -41,14 +108,12 @@ def lagged(rows: DataFrame, part: str) -> DataFrame:
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = state.get if state.exists else None
         rows = _in_order(chunks, before[0] if before else -(2**63))
-        out = []
-        for k, v in zip(rows.k, rows.v, strict=True):
-            if before is not None:
-                out.append((key[0], int(k), float(v), *before))
-            before = (int(k), float(v))
-        if before is not None:
-            state.update(before)
-        yield pd.DataFrame(out, columns=[part, "k", "v", "lag_k", "lag_v"])
+        k, v = rows.k.tolist(), rows.v.tolist()
+        lag = [*([before] if before else []), *zip(k, v, strict=True)]
+        if lag:
+            state.update((int(lag[-1][0]), float(lag[-1][1])))
+        at = 0 if before else 1
+        yield pd.DataFrame({part: [key[0]] * len(k[at:]), "k": k[at:], "v": v[at:], "lag_k": [int(x) for x, _ in lag[:-1]], "lag_v": [float(x) for _, x in lag[:-1]]})
 
     shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, v double, lag_k long, lag_v double"
     return rows.groupBy(part).applyInPandasWithState(step, shape, "k long, v double", "append", GroupStateTimeout.NoTimeout)
@@ -58,24 +123,26 @@ def carried(rows: DataFrame, part: str) -> DataFrame:
     """``part, k, l, r``: rows with ``side`` 'l', each with the last value of side 'r' at or before it; one value of state for each key.
 
     A trigger's rows are taken in key order, sides of one key together, so a stream whose triggers follow key order
-    gives what the batch join gives.
+    gives what the batch join gives. A row of side 'r' behind the last key that was answered came too late for it:
+    it fails the query rather than leave answers that the batch join would not give.
     """
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else None
+        held, answered = state.get if state.exists else (None, -(2**63))
         rows = pd.concat(list(chunks)).sort_values(["k", "side"], ascending=[True, False], kind="stable")
-        out = []
+        if (rows.k[rows.side == "r"] <= answered).any():
+            raise OutOfOrderError(f"a row of side 'r' at or before {answered}, which has been answered")
+        answered, out = max([answered, *rows.k[rows.side == "l"].tolist()]), []
         for k, v, side in zip(rows.k, rows.v, rows.side, strict=True):
             if side == "r":
                 held = float(v)
             elif held is not None:
                 out.append((key[0], int(k), float(v), held))
-        if held is not None:
-            state.update((held,))
+        state.update((held, int(answered)))
         yield pd.DataFrame(out, columns=[part, "k", "l", "r"])
 
     shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, l double, r double"
-    return rows.groupBy(part).applyInPandasWithState(step, shape, "held double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(part).applyInPandasWithState(step, shape, "held double, answered long", "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling_bars(rows: DataFrame, part: str, time: str, price: str, width: str, late: str) -> DataFrame:
