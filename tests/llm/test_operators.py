@@ -78,9 +78,10 @@ def test_all_similar_texts_are_found(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one_similar(spark, docs).collect()) == sorted(set(brute.components(len(texts), pairs)))
 
 
-@pytest.mark.parametrize("key_pairs", [simhash.KEY_PAIRS, 20, 1])
-def test_simhash_links_are_all_found(spark, monkeypatch, key_pairs):
-    monkeypatch.setattr(simhash, "KEY_PAIRS", key_pairs)
+@pytest.mark.parametrize(("key_pairs", "leaf", "parts"), [(simhash.KEY_PAIRS, simhash.LEAF, (3,)), (20, simhash.LEAF, (3,)), (20, 6, (3,)), (1, 1, (3,)), (simhash.KEY_PAIRS, 6, (2,)), (20, 6, (2,)), (1, 2, (4,))])
+def test_simhash_links_are_all_found(spark, monkeypatch, key_pairs, leaf, parts):
+    for name, value in (("KEY_PAIRS", key_pairs), ("LEAF", leaf), ("PARTS", parts)):
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(key_pairs)
     near = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
     fps = {rng.getrandbits(64) for _ in range(60)}
@@ -95,6 +96,10 @@ def test_simhash_links_are_all_found(spark, monkeypatch, key_pairs):
     assert {x: got.get(x, x) for x in fps} == {x: fps[root[i]] for i, x in enumerate(fps)}
 
 
+def test_parts_follow_the_number_of_fingerprints():
+    assert simhash.choose_parts(0) == simhash.choose_parts(10**6) == 3 and simhash.choose_parts(10**9) == simhash.choose_parts(10**12) == 2
+
+
 def test_thresholds_cover_every_difference():
     rng = np.random.default_rng(3)
     t = simhash.allocate([rng.random((3, 500)) * 100 for _ in range(3)])
@@ -107,7 +112,7 @@ def test_correlated_bits_go_together():
     corr = np.eye(64)
     for a in range(0, 64, 2):
         corr[a, a + 1] = corr[a + 1, a] = 0.9
-    groups = simhash.group_bits(corr)
+    groups = simhash.group_bits(corr, 3)
     assert sorted(b for g in groups for b in g) == list(range(64)) and max(map(len, groups)) - min(map(len, groups)) <= 1
     assert sum(b ^ 1 in g for g in groups for b in g) >= 60
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from math import comb
 
 import numpy as np
@@ -16,13 +16,14 @@ from .common import Cut, components, small
 BITS = 64
 SHINGLE = 3
 RADIUS = 2
-PARTS = 3
-#: Bits of a part that the histograms for estimates look at: PARTS * 2**PREFIX counts, whatever the input.
+#: Numbers of parts that are weighed against each other: fewer parts have longer keys, but are probed around their values.
+PARTS = (3, 2)
+#: Bits of a part that the histograms for estimates look at: parts * 2**PREFIX counts, whatever the input.
 PREFIX = 14
 #: What a probe costs, in candidates.
 PROBE_COST = 2.0
-#: Pairs that one key may give; keys with more are handled through common neighbours.
-KEY_PAIRS = 4096
+#: Pairs that one key may give; keys with more are divided by parts of their other bits, until LEAF or fewer fingerprints share a key.
+KEY_PAIRS, LEAF = 4096, 1024
 SEED = 42
 #: Where no contract says otherwise, near-duplicates have a Jaccard similarity of 4/5 or more by five-word shingles.
 SHINGLE_SIMILAR, SIMILAR = 5, (4, 5)
@@ -87,7 +88,18 @@ def correlations(unique: DataFrame) -> np.ndarray:
     return np.abs(cov / np.outer(sd, sd))
 
 
-def group_bits(corr: np.ndarray, parts: int = PARTS) -> list[list[int]]:
+def choose_parts(n: int) -> int:
+    """The number of parts whose probes and candidates cost least for n fingerprints, were all bits even; what each part then gets is up to ``allocate``."""
+
+    def cost(parts: int) -> float:
+        width, spare = BITS / parts, RADIUS - parts + 1
+        probes = sum(comb(int(width), k) for k in range(spare + 1)) + parts - 1
+        return probes * (PROBE_COST + n / 2**width)
+
+    return min(PARTS, key=cost)
+
+
+def group_bits(corr: np.ndarray, parts: int) -> list[list[int]]:
     """Bits in groups of equal size (within one): a group starts with the bit most correlated with those left, and takes the ones most correlated with itself."""
     left, out = list(range(len(corr))), []
     for k in range(parts):
@@ -181,19 +193,82 @@ def keys(unique: DataFrame, groups: list[list[int]], tables) -> DataFrame:
     return unique.select("fp").mapInArrow(run, "part byte, value long, fp long, probe boolean")
 
 
+def _signed_mask(bits: list[int]) -> int:
+    x = sum(1 << b for b in bits)
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def _narrowed(hot: DataFrame, corr: np.ndarray, left: list[list[int]]) -> tuple[DataFrame, list[list[int]]]:
+    """``hot(key, kind, fp)`` with longer keys: a key's fingerprints agree in all bits but left[kind], which are parted anew.
+
+    Two that differ in RADIUS bits at most agree in one of RADIUS + 1 parts of these, so each fingerprint gets so many
+    keys. Also the bits that are still left, by the new kinds.
+    """
+    rest, rows = [], []
+    for own in left:
+        groups = group_bits(corr[np.ix_(own, own)], RADIUS + 1)
+        parts = []
+        for g in groups:
+            bits = [own[i] for i in g]
+            parts.append(F.struct(F.lit(_signed_mask(bits)).cast("long").alias("mask"), F.lit(len(rest)).alias("kind")))
+            rest.append([b for b in own if b not in set(bits)])
+        rows.append(F.array(*parts))
+    each = hot.select("key", "fp", F.explode(F.element_at(F.array(*rows), F.col("kind") + 1)).alias("p"))
+    return each.select(F.xxhash64("key", "p.kind", F.col("fp").bitwiseAND(F.col("p.mask"))).alias("key"), F.col("p.kind").alias("kind"), "fp"), rest
+
+
+def _verified(rows: DataFrame) -> DataFrame:
+    """``a, b``: a spanning forest of the links within each key of ``rows(key, fp)``, which LEAF fingerprints share at most, or those that agree in almost all bits."""
+
+    def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        root = np.arange(len(fps))
+        u = fps.view(np.uint64)
+        for at in range(0, len(u), 256):
+            a, b = np.nonzero(np.bitwise_count(u[at : at + 256, None] ^ u[None, :]) <= RADIUS)
+            a += at
+            while True:
+                low = np.minimum(root[a], root[b])
+                before = root.copy()
+                np.minimum.at(root, a, low)
+                np.minimum.at(root, b, low)
+                root = root[root]
+                if (root == before).all():
+                    break
+        at = np.flatnonzero(root != np.arange(len(fps)))
+        return fps[root[at]], fps[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), np.int64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            if not held.shape[1]:
+                continue
+            edge = np.flatnonzero(np.diff(held[0])) + 1
+            end = held.shape[1] if batch is None else edge[-1] if len(edge) else 0
+            found = [linked(g) for g in np.split(held[1, :end], edge[edge < end]) if len(g) > 1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+            held = held[:, end:]
+
+    return rows.select("key", "fp").distinct().repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+
+
 def links(spark: SparkSession, unique: DataFrame, cut: Cut) -> DataFrame:
     """Edges ``a, b`` that connect all fingerprints within RADIUS of each other; each row of ``unique(fp)`` is distinct.
 
     A key is a part and a value; those who probe it meet those who have it, and a pair is kept if it is within
-    the radius. A key with more than KEY_PAIRS such pairs is handled exactly without pairs: each of its
-    fingerprints lists itself and its 64 neighbours at one bit, and two fingerprints are within two bits if and
-    only if they list one in common; so each listed value links those who list it to the smallest of them. That
-    is 65 rows for each such fingerprint, however many share a key.
+    the radius. The fingerprints of a key with more than KEY_PAIRS such pairs agree in the part, so the pigeonhole
+    is applied to their other bits: they get longer keys, of the part and of a part of the rest, again and again, until
+    LEAF or fewer share a key or a few bits are left. Those are compared in their task, which passes on a spanning
+    forest and not their pairs. So a dense group costs each of its fingerprints 3 keys a round, of which there are 4 at most.
     """
-    groups = group_bits(correlations(unique))
+    corr = correlations(unique)
+    parts = choose_parts(unique.count())
+    groups = group_bits(corr, parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = np.zeros((PARTS, 1 << PREFIX), np.int64)
+        hist = np.zeros((parts, 1 << PREFIX), np.int64)
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for i, own in enumerate(groups):
@@ -201,11 +276,11 @@ def links(spark: SparkSession, unique: DataFrame, cut: Cut) -> DataFrame:
         at = np.flatnonzero(hist)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(hist.ravel()[at])], ["cell", "n"])
 
-    hist = np.zeros(PARTS << PREFIX, np.int64)
+    hist = np.zeros(parts << PREFIX, np.int64)
     counted = unique.select("fp").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    for cell, n in counted.collect():  # at most PARTS * 2**PREFIX rows
+    for cell, n in counted.collect():  # at most parts * 2**PREFIX rows
         hist[cell] = n
-    tables = spark.sparkContext.broadcast([balls(h, len(own)) for h, own in zip(hist.reshape(PARTS, -1), groups, strict=True)])
+    tables = spark.sparkContext.broadcast([balls(h, len(own)) for h, own in zip(hist.reshape(parts, -1), groups, strict=True)])
     rows = cut(keys(unique, groups, tables))
     probes = F.sum(F.col("probe").cast("long"))
     pairs = (F.count("*") - probes) * probes
@@ -215,11 +290,21 @@ def links(spark: SparkSession, unique: DataFrame, cut: Cut) -> DataFrame:
     x, y = calm.where("NOT probe").alias("x"), calm.where("probe").alias("y")
     near = (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS) & (F.col("x.fp") != F.col("y.fp"))
     found = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.value") == F.col("y.value")) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    hot = cut(rows.join(busy.where(f"pairs > {KEY_PAIRS}").select("part", "value"), ["part", "value"]).select("fp").distinct())
-    near_by = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    listed = hot.select("fp", F.explode(near_by).alias("at"))
-    least = listed.groupBy("at").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.unionByName(listed.join(least, "at").where("fp <> a").select("a", F.col("fp").alias("b")))
+    left = [[b for b in range(BITS) if b not in set(own)] for own in groups]
+    hot = rows.join(busy.where(f"pairs > {KEY_PAIRS}").select("part", "value"), ["part", "value"])
+    # those who probe from a distance do not agree in the part's bits: what they agree in is the key, and all other bits are parted
+    hot = cut(hot.select(F.xxhash64("part", "value").alias("key"), F.col("part").cast("int").alias("kind"), "fp").distinct())
+    while hot.limit(1).count():
+        longer, left = _narrowed(hot, corr, left)
+        longer = cut(longer)
+        last = min(map(len, left)) <= RADIUS + 1 or max(map(len, left)) <= 10
+        sizes = cut(longer.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
+        small_keys = sizes if last else sizes.where(F.col("k") <= LEAF)
+        found = found.unionByName(cut(_verified(longer.join(small_keys.select("key"), "key"))))
+        if last:
+            break
+        hot = cut(longer.join(sizes.where(F.col("k") > LEAF).select("key"), "key"))
+    return found
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
