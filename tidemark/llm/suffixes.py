@@ -10,20 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut
+from .common import Cut, slices
 
 LENGTH = 200
 #: Anchors are GRAM-byte strings; each window of LENGTH bytes has one, the one of least hash, wherever it occurs.
 GRAM = 32
 SPAN = LENGTH - GRAM
-#: Different surroundings of one anchor that a task sorts together; more are first told apart by longer strings.
-GROUP = 16_384
+#: Different surroundings of one anchor that a task sorts together; more are first told apart by the bytes next to it.
+GROUP = 4096
 #: Window starts that are handled together, in each round of telling the anchors of larger groups apart.
 WIDTHS = (57, 8, 1)
 #: Depth to which suffixes are sorted by multikey quicksort before blind tries take over.
 SHALLOW = 48
 BLOCK = 1 << 19
-ROWS = 40_000
+ROWS = 8192
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK + LENGTH, _B)]), dtype=np.uint64)
@@ -69,7 +69,7 @@ def anchors(buf: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Row ranges of about a block of bytes, with their texts."""
+    """Row ranges of about a block of bytes, with their texts; one text may be longer."""
     col, at, own, size = batch.column(batch.schema.get_field_index("text")), 0, [], 0
     for i in range(len(batch)):
         raw = (col[i].as_py() or "").encode()
@@ -109,14 +109,14 @@ def anchor_keys(docs: DataFrame) -> DataFrame:
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """``rid, key, ctx, pos, right, n, more``: anchors by text, key and surroundings.
 
-    ctx hashes the surroundings: up to SPAN bytes before the anchor and LENGTH from it, within the text. Of a
+    ctx is a 128-bit hash of the surroundings: up to SPAN bytes before the anchor and LENGTH from it, within the text. Of a
     text's anchors that agree in key and ctx there is one row, of the first; n is how many there are, and more
     holds the surroundings of the others, as merged intervals.
     """
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
             for _, _, own in _texts(batch):
@@ -124,9 +124,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 if not len(places):
                     continue
                 left, right = np.minimum(places - first[doc], SPAN), np.minimum(end[doc] - places, LENGTH)
-                ctx = np.array([xxh3_64_intdigest(whole[p - a : p + b], a) for p, a, b in zip(places.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64).view(np.int64)
-                order = np.lexsort((places, ctx, key, doc))
-                same = np.concatenate([[False], (np.diff(doc[order]) == 0) & (np.diff(key[order]) == 0) & (np.diff(ctx[order]) == 0)])
+                raw = b"".join([xxh3_128_digest(whole[p - a : p + b], a) for p, a, b in zip(places.tolist(), left.tolist(), right.tolist(), strict=True)])
+                ctx = np.frombuffer(raw, np.int64).reshape(-1, 2)
+                order = np.lexsort((places, ctx[:, 1], ctx[:, 0], key, doc))
+                same = np.concatenate([[False], (np.diff(doc[order]) == 0) & (np.diff(key[order]) == 0) & (np.diff(ctx[order], axis=0) == 0).all(1)])
                 head = np.flatnonzero(~same)
                 count = np.diff(np.concatenate([head, [len(order)]]))
                 more: list[list | None] = [None] * len(head)
@@ -138,11 +139,11 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 rids = [hashlib.md5(x, usedforsecurity=False).digest() for x in own]
                 o = order[head]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rids[i] for i in doc[o]], pa.binary()), pa.array(key[o]), pa.array(ctx[o]), pa.array((places - first[doc])[o].astype(np.int32)), pa.array(right[o].astype(np.int32)), pa.array(count), pa.array(more, spans)],
+                    [pa.array([rids[i] for i in doc[o]], pa.binary()), pa.array(key[o]), pa.array([raw[16 * i : 16 * i + 16] for i in o.tolist()], pa.binary()), pa.array((places - first[doc])[o].astype(np.int32)), pa.array(right[o].astype(np.int32)), pa.array(count), pa.array(more, spans)],
                     ["rid", "key", "ctx", "pos", "right", "n", "more"],
                 )
 
-    return docs.select("text").mapInArrow(run, "rid binary, key long, ctx long, pos int, right int, n long, more array<struct<start:int,end:int>>")
+    return docs.select("text").mapInArrow(run, "rid binary, key long, ctx binary, pos int, right int, n long, more array<struct<start:int,end:int>>")
 
 
 def _lcp(a: bytes, b: bytes) -> int:
@@ -301,7 +302,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     holder = docs.select(_rid().alias("r"), "doc_id").groupBy("r").agg(F.min(F.struct("doc_id")).alias("d"))
     lists = lists.join(holder, F.col("rid") == F.col("r")).select("rid", "rows", F.col("d.doc_id").alias("_d"))
     found = one.join(lists, "rid").where(F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "rows")
-    return found.mapInArrow(run, "key long, ctx long, n long, k long, left int, bytes binary")
+    return found.mapInArrow(run, "key long, ctx binary, n long, k long, left int, bytes binary")
 
 
 def _rid() -> F.Column:
@@ -315,15 +316,15 @@ def _zones(rows: DataFrame, width: int) -> DataFrame:
     those of its levels that the context has windows for.
     """
     names = ["sub", "zone", "key", "ctx", "n", "low", "high", "first", "last"]
-    types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    types = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for start in range(0, len(batch), 5000):
+            for start in range(0, len(batch), 1000):
                 out = []
-                for key, ctx, n, left, raw, low, high in zip(*(c.to_pylist() for c in batch.slice(start, 5000).columns), strict=True):
+                for key, ctx, n, left, raw, low, high in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns), strict=True):
                     right = len(raw) - left
                     for a in range(low, high + 1, width):
                         b = min(a + width - 1, high)
@@ -332,11 +333,11 @@ def _zones(rows: DataFrame, width: int) -> DataFrame:
                         z0 = max(0, left - b)
                         core = raw[max(0, left - a) : left + LENGTH - b]
                         zone = raw[z0 : left + LENGTH - a]
-                        out.append((xxh3_128_digest(core, (key ^ a) & (2**64 - 1)), xxh3_64_intdigest(zone, left - z0) - 2**63, key, ctx, n, a, b, max(a, LENGTH - right), min(b, left)))
+                        out.append((xxh3_128_digest(core, (key ^ a) & (2**64 - 1)), xxh3_128_digest(zone, left - z0), key, ctx, n, a, b, max(a, LENGTH - right), min(b, left)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return rows.select("key", "ctx", "n", "left", "bytes", "low", "high").mapInArrow(run, "sub binary, zone long, key long, ctx long, n long, low int, high int, first int, last int")
+    return rows.select("key", "ctx", "n", "left", "bytes", "low", "high").mapInArrow(run, "sub binary, zone binary, key long, ctx binary, n long, low int, high int, first int, last int")
 
 
 def _sorted_groups(rows: DataFrame) -> DataFrame:
@@ -354,9 +355,9 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
                 at = np.flatnonzero((runs[:, 0] == low) & (runs[:, 1] == high))
                 first[at], last[at] = repeated_levels(number[at], [own[i][3][: own[i][2]][::-1] for i in at], [own[i][3][own[i][2] :] for i in at], low, high)
             hit = np.flatnonzero(first >= 0)
-            return pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in hit], pa.binary()), pa.array([own[i][1] for i in hit], pa.int64()), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], ["sub", "zone", "first", "last"])
+            return pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in hit], pa.binary()), pa.array([own[i][1] for i in hit], pa.binary()), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32))], ["sub", "zone", "first", "last"])
 
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
             if len(held) >= ROWS:
                 keep = len(held) - 1
@@ -368,7 +369,7 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
         if held:
             yield done(held)
 
-    return rows.repartition("sub").sortWithinPartitions("sub").select("sub", "zone", "left", "bytes", "low", "high").mapInArrow(run, "sub binary, zone long, first int, last int")
+    return rows.repartition("sub").sortWithinPartitions("sub").select("sub", "zone", "left", "bytes", "low", "high").mapInArrow(run, "sub binary, zone binary, first int, last int")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, cut: Cut) -> DataFrame:
@@ -380,6 +381,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, cut: Cut) -> DataFrame:
     several = cut(contexts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
     # surroundings that occur twice repeat at all their levels
     hits = [contexts.where("n > 1").select("key", "ctx", F.greatest(F.lit(0), LENGTH - F.col("p.right")).alias("first"), F.least(F.lit(SPAN), F.col("p.pos")).alias("last"))]
+    cut.drop(n_keys)
     wanted = contexts.join(several, "key").select("key", "ctx", "n", "k", "p.rid", "p.pos", "p.right")
     around = cut(_contexts(docs, wanted))
     low, high = F.lit(0).alias("low"), F.lit(SPAN).alias("high")
@@ -433,7 +435,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sizes, removed, parts, keeps = [], [], [], []
             for i in range(len(batch)):
                 raw, found = (batch.column(1)[i].as_py() or "").encode(), batch.column(2)[i].as_py()
