@@ -190,43 +190,58 @@ def test_markers_decide(spark, model):
     assert out[1]["rendered"] == "<|assistant|>\nwell\nmore of it\n<|end|>\n"
 
 
-def test_segments_are_joined_exactly(spark, model, monkeypatch):
-    rng = random.Random(5)
-    rows = [(c, t, "\n".join("word " * rng.randrange(1, 40) for _ in range(rng.randrange(1, 6)))) for c in range(6) for t in range(50)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
-    whole = {(r[0], r[1]): r["role_found"] for r in transcripts.parse_roles(spark, df, model).collect()}
-    monkeypatch.setattr(transcripts, "SEGMENT", 3)
-    parts = {(r[0], r[1]): r["role_found"] for r in transcripts.parse_roles(spark, df, model).collect()}
-    assert parts.keys() == whole.keys()
-    assert sum(parts[x] != whole[x] for x in whole) <= 0.02 * len(whole)  # paths of equal score may differ
+def test_rows_are_split_where_a_turn_begins(spark, model):
+    rows = [(1, 0, "User: hi\nAssistant: hello\nmore\nUser: bye"), (2, 0, "plain\nlines\nonly"), (3, 0, "Human: a"), (3, 1, "Bot: b\nUser: c")]
+    out = transcripts.render(transcripts.parse_roles(spark, spark.createDataFrame(rows, "conv_id long, turn long, text string"), model)).orderBy("conv_id", "turn", "part").collect()
+    assert [(r["conv_id"], r["turn"], r["part"], r["role_found"]) for r in out if r["conv_id"] != 2] == [(1, 0, 0, "user"), (1, 0, 1, "assistant"), (1, 0, 2, "user"), (3, 0, 0, "user"), (3, 1, 0, "assistant"), (3, 1, 1, "user")]
+    assert out[1]["rendered"] == "<|assistant|>\nhello\nmore\n<|end|>\n" and [r["text"] for r in out if r["conv_id"] == 2] == ["plain\nlines\nonly"]
+
+
+def test_markers_are_counted(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{'Q' if t % 2 == 0 else 'A'}: words {c} {t}\nmore") for c in range(30) for t in range(4)]
+    marked = transcripts.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    bare = transcripts.fit(spark.createDataFrame([(c, t, r, x[3:]) for c, t, r, x in rows], "conv_id long, turn long, role string, text string"))
+    first = transcripts.STATES.index(("user", True))
+    assert marked.emit[first, 0, 2] > np.log(0.7) > np.log(0.1) > bare.emit[first, 0, 2]
 
 
-def test_chained_segments_score_as_one(model):
-    scores = np.random.default_rng(14).normal(size=(30, len(transcripts.STATES))) * 3
-    best = transcripts.transfer(model, scores)[0].max()
-    m = transcripts.transfer(model, scores[:7])[0]
-    for a, b in ((7, 8), (8, 19), (19, 30)):
-        m = (m[:, None] + transcripts.transfer(model, scores[a:b])[1:]).max(0)
-    assert m.max() == pytest.approx(best)
+def test_no_known_roles(spark):
+    model = transcripts.fit(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    rows = [(1, 0, "User: a\nb"), (1, 1, "Assistant: c")]
+    out = transcripts.parse_roles(spark, spark.createDataFrame(rows, "conv_id long, turn long, text string"), model).orderBy("turn").collect()
+    assert [r["role_found"] for r in out] == ["user", "assistant"]
+    other = transcripts.fit(spark.createDataFrame([(1, 0, None, "x"), (1, 1, "narrator", "y")], "conv_id long, turn long, role string, text string"))
+    assert (other.start == model.start).all() and other.emit == model.emit
+
+
+@pytest.mark.parametrize(("rows_each", "lines_each"), [(1, 1), (3, 7), (4, 20_000)])
+def test_segments_change_nothing(spark, model, monkeypatch, rows_each, lines_each):
+    rng = random.Random(5)
+    rows = [(c, t, "\n".join(rng.choice(["word " * rng.randrange(1, 40), "User: x", "same", "same", "- item", "why?"]) for _ in range(rng.randrange(1, 6)))) for c in range(4) for t in range(40)]
+    rows += [(4, 0, "same")] * 60
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    whole = transcripts.parse_roles(spark, df, model).collect()
+    monkeypatch.setattr(transcripts, "SEGMENT", rows_each)
+    monkeypatch.setattr(transcripts, "SEGMENT_LINES", lines_each)
+    same(transcripts.parse_roles(spark, df, model).collect(), whole)
 
 
 def test_viterbi_is_the_best_path(model):
     rng = np.random.default_rng(6)
+    start, step, _ = model.whole()
     n = len(transcripts.STATES)
-    scores = rng.normal(size=(5, n)) * 3
-    best = max(
-        (model.start[p[0]] + scores[0, p[0]] + sum(model.step[p[i - 1], p[i]] + scores[i, p[i]] for i in range(1, 5)), p)
-        for p in np.ndindex(*[n] * 5)
-    )
-    assert tuple(transcripts.viterbi(model, scores, None, None)) == best[1]
-    assert transcripts.transfer(model, scores)[0].max() == pytest.approx(best[0])
+    scores = rng.integers(-200_000, 0, (5, n))
+    best = max((start[p[0]] + scores[0, p[0]] + sum(step[p[i - 1], p[i]] + scores[i, p[i]] for i in range(1, 5)), p) for p in np.ndindex(*[n] * 5))
+    path, before, score = transcripts.viterbi(start, step, scores, None)
+    assert tuple(path[:, score.argmax()]) == best[1] and score.max() == best[0] and (before == -1).all()
+    assert transcripts.transfer(start, step, scores)[0].max() == best[0]
 
 
 def test_awkward_turns(spark, model):
     rows = [(None, None, None), (None, 0, "x"), (1, None, ""), (1, 0, None), (1, 0, "same"), (1, 0, "same"), (2, 10**9, "far"), (3, 0, "y" * 200_000)]
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "conv_id long, turn long, text string, c string, seg long")
     out = transcripts.parse_roles(spark, df, model)
-    same([tuple(r)[:3] for r in out.collect()], rows)
+    same([(r["conv_id"], r["turn"], r["text"]) for r in out.collect()], rows)
     assert transcripts.parse_roles(spark, df.limit(0), model).count() == 0
     assert set(r["role_found"] for r in out.collect()) <= set(transcripts.ROLES)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -14,7 +18,7 @@ import __spark_entry__
 from tests.llm import brute
 from tests.llm.conftest import DATA
 from tests.oracle import assert_same
-from tidemark.llm import mixing, secrets, sharding
+from tidemark.llm import mixing, secrets, sharding, transcripts
 from tidemark.llm import queries as llm
 
 QUERIES = llm.queries()
@@ -65,12 +69,50 @@ def test_op2(spark, tmp_path, planted):
 
 
 def test_op4_roles_of_held_out_conversations(spark):
-    from tidemark.llm import transcripts
-
     turns = spark.read.parquet(f"{DATA[:-5]}0.01/conversations.parquet")
     found = transcripts.parse_roles(spark, turns.where("conv_id % 2 = 1").select("conv_id", "turn", "text"), transcripts.fit(turns.where("conv_id % 2 = 0")))
     both = found.join(turns.select("conv_id", "turn", "role"), ["conv_id", "turn"]).collect()
-    assert sum(r["role"] == r["role_found"] for r in both) >= 0.9 * len(both)
+    assert len(both) >= turns.where("conv_id % 2 = 1").count() and sum(r["role"] == r["role_found"] for r in both) >= 0.9 * len(both)
+
+
+def plain_lines(turn, text):
+    """What is seen of each line, by the definition of the features."""
+    lines, out = (text or "").split("\n"), []
+    for i, x in enumerate(lines):
+        marker = 0
+        for k, role in enumerate(transcripts.ROLES, 1):
+            if re.search(rf"^\s*(#+\s*|\*\*|<\|?|\[)?({transcripts.MARKERS[role]})(\s*(\*\*)?\s*:(\*\*)?|\|?>|\])", x.lower(), re.A):
+                marker = k
+        starts = i == 0 and (-1 if turn is None else turn) <= 0
+        out.append((marker, i == 0, starts, min(12, int(math.log2(len(x) + 1))), min(6, int(math.log2(len(lines) + 1))), bool(re.search(r"\?\s*$", x)), bool(re.search(r"^\s*([-*]|\d+[.)])\s", x))))
+    return [tuple(map(int, x)) for x in out]
+
+
+def test_op4_against_all_paths(spark, tmp_path):
+    """Each conversation of the query has the best of all paths over its lines, and its rows are split and rendered by it."""
+    rng = random.Random(18)
+    kinds = ["Hello there?", "User: what now", "- an item", "Assistant: this", "A long line of words that goes on and on for a while.", "system: rules", "yes"]
+    rows = [(c, t, ("user", "assistant")[t % 2] if c % 3 else None, "\n".join(rng.choices(kinds, k=rng.randrange(1, 3)))) for c in range(25) for t in range(rng.randrange(1, 3))]
+    at = f"file://{tmp_path}"
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{at}/conversations.parquet")
+    start, step, table = transcripts.fit(turns).whole()
+    n, want = len(transcripts.STATES), []
+    for c in range(25):
+        own = [(t, text) for k, t, _, text in rows if k == c]
+        seen = [x for t, text in own for x in plain_lines(t, text)]
+        scores = [[sum(int(table[f][v][s]) for f, v in enumerate(x)) for s in range(n)] for x in seen]
+        value = lambda p: start[p[0]] + scores[0][p[0]] + sum(step[a, b] + scores[i][b] for i, (a, b) in enumerate(zip(p, p[1:], strict=False), 1))  # noqa: E731, B023
+        path = max(itertools.product(range(n), repeat=len(seen)), key=lambda p: (value(p), tuple(-s for s in reversed(p))))
+        for t, text in own:
+            lines, mine, path = text.split("\n"), path[: text.count("\n") + 1], path[text.count("\n") + 1 :]
+            cuts = [0, *(j for j in range(1, len(mine)) if transcripts.STATES[mine[j]][1]), len(mine)]
+            for k, (a, b) in enumerate(itertools.pairwise(cuts)):
+                role, body = transcripts.STATES[mine[a]][0], "\n".join(lines[a:b])
+                body = re.sub(r"(?i)^(user|assistant|system):", "", body) if body.lower().startswith(f"{role}:") else body
+                want.append((c, t, k, role, f"<|{role}|>\n{body.strip(' ')}\n<|end|>\n"))
+    assert sorted(map(tuple, QUERIES["op4_transcript_roles"](spark, at).collect())) == sorted(want)
+    assert any(k for _, _, k, _, _ in want)
 
 
 def test_op5_and_op6(spark, texts):

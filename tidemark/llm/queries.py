@@ -31,7 +31,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     out = transcripts.render(transcripts.parse_roles(spark, turns.select("conv_id", "turn", "text"), transcripts.fit(turns)))
-    return out.select("conv_id", "turn", "role_found", "rendered")
+    return out.select("conv_id", "turn", "part", "role_found", "rendered")
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
