@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, components, small
+from .common import Cut, components, slices, small
 
 BITS = 64
 SHINGLE = 3
@@ -25,6 +25,10 @@ PROBE_COST = 2.0
 #: Pairs that one key may give; keys with more are divided by parts of their other bits, until LEAF or fewer fingerprints share a key.
 KEY_PAIRS, LEAF = 4096, 1024
 SEED = 42
+#: Names that this module gives to columns of its callers' tables.
+HIDDEN = ("_sh_fp", "_sh_id", "_sh_node", "_sh_n")
+#: Nodes that a task remembers having listed; those beyond are listed again, which changes nothing.
+LISTED = 1 << 18
 #: Where no contract says otherwise, near-duplicates have a Jaccard similarity of 4/5 or more by five-word shingles.
 SHINGLE_SIMILAR, SIMILAR = 5, (4, 5)
 #: Shingles are counted by so many bits of their hashes, over one in SKETCH_OF texts, to order them from rare to common.
@@ -56,9 +60,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` of every row; a text without words (null too) has the fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [fingerprint(batch.column(1)[i].as_py(), shingle) for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        for batch in (part for whole in batches for part in slices(whole)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -328,28 +331,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without near-duplicates: of each component one row stays, that of the smallest doc_id (nulls last).
 
-    If several rows of a component share that doc_id, the one of the smallest fingerprint stays, and one of those
-    that agree in this too. Columns whose names begin with _sh_ are dropped.
+    If several rows of a component share that doc_id, any one of them stays. Columns whose names begin with _sh_ are dropped.
     """
     cut = Cut(spark, "simhash")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in HIDDEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             text = batch.column(batch.schema.get_field_index("text"))
-            yield batch.append_column("_sh_fp", pa.array([fingerprint(text[i].as_py(), shingle) for i in range(len(batch))], pa.int64()))
+            yield batch.append_column("_sh_fp", pa.array([fingerprint(t.as_py(), shingle) for t in text], pa.int64()))
 
-    docs = docs.drop("_sh_fp", "_sh_key")
-    rows = cut(docs.mapInArrow(run, f"{kinds}, _sh_fp long"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    unique = cut(rows.groupBy(F.col("_sh_fp").alias("fp")).agg(first.alias("least")))
+    docs = docs.drop(*HIDDEN)
+    rows = cut(docs.mapInArrow(run, f"{kinds}, _sh_fp long").withColumn("_sh_id", F.monotonically_increasing_id()))
+    unique = cut(rows.groupBy(F.col("_sh_fp").alias("fp")).agg(_least_row()))
     roots = components(spark, links(spark, unique, cut), cut)
-    unique = unique.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null/"))
-    stays = cut(unique.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("s")).select(F.col("s.fp").alias("_sh_fp"), key(F.col("s.least.id")).alias("_sh_key")))
-    # both by the same keys, so that texts are moved once
-    on = ["_sh_fp", "_sh_key"]
-    return rows.withColumn("_sh_key", key(F.col("doc_id"))).join(stays, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+    unique = unique.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
+    return _rows_that_stay(rows, unique, cut).select(*docs.columns)
+
+
+def _least_row() -> F.Column:
+    """Of a group of rows, the one of the smallest doc_id (nulls last), by the row's own number."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_sh_id").alias("row"))).alias("least")
+
+
+def _rows_that_stay(rows: DataFrame, unique: DataFrame, cut: Cut) -> DataFrame:
+    """Of the rows of each root of ``unique(root, least)`` the least; texts are moved once, or not at all if few rows stay."""
+    stays = cut(unique.groupBy("root").agg(F.min("least").alias("s")).select(F.col("s.row").alias("_sh_id")))
+    return rows.join(small(stays), "_sh_id", "left_semi")
 
 
 def rarest(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -365,7 +373,7 @@ def rarest(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut: Cut) -> DataFrame:
     """Edges ``a, b`` between nodes that connect all whose sets of SHINGLE_SIMILAR-word shingles have a Jaccard similarity of SIMILAR or more.
 
-    ``rows`` have ``_sh_node, _sh_key, text``, and ``unique`` has ``node, fp, key, n``: a node is a distinct set of n, key the
+    ``rows`` have ``_sh_node, _sh_id, text``, and ``unique`` has ``node, fp, id, n``: a node is a distinct set of n, id the
     row that stands for it. Candidates are SimHash links and those who list a rare shingle in common, which no pair
     escapes; each is tested on its whole sets. First each is held against the least of its fingerprint or shingle,
     then against those who share a shingle and are not connected yet, so that near-copies are not expanded into pairs.
@@ -381,26 +389,31 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                own = [np.unique(hashes(t.as_py(), SHINGLE_SIMILAR)) for t in part.column(1)]
-                rare = [rarest(h, counts.value) if len(h) else h for h in own]
-                at = [len(x) for x in rare]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), at)), pa.array(np.repeat([len(h) for h in own], at).astype(np.int32))], ["key", "node", "n"])
+        done: set[int] = set()
+        for part in (p for batch in batches for p in slices(batch)):
+            found = []
+            for node, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                if node not in done:
+                    if len(done) >= LISTED:
+                        done.clear()
+                    done.add(node)
+                    h = np.unique(hashes(text.as_py(), SHINGLE_SIMILAR))
+                    if len(h):
+                        rare = rarest(h, counts.value).view(np.int64)
+                        found.append((rare, np.full(len(rare), node, np.int64), np.full(len(rare), len(h), np.int32)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["key", "node", "n"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(hashes(t.as_py(), SHINGLE_SIMILAR)).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], ["node", "own"])
+        for part in (p for batch in batches for p in slices(batch)):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(hashes(t.as_py(), SHINGLE_SIMILAR)).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], ["node", "own"])
 
     def tested(pairs: DataFrame) -> DataFrame:
         size = lambda c: unique.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         pairs = cut(pairs.join(size("a"), "a").join(size("b"), "b").where((F.col("n_a") * of >= F.col("n_b") * top) & (F.col("n_b") * of >= F.col("n_a") * top)))
-        need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(unique, "node").select(F.col("node").alias("_sh_node"), F.col("key").alias("_sh_key")))
-        sets = cut(rows.join(small(need), ["_sh_node", "_sh_key"], "left_semi").dropDuplicates(["_sh_node", "_sh_key"]).select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
+        need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(unique, "node").select(F.col("id").alias("_sh_id")))
+        sets = cut(rows.join(small(need), "_sh_id", "left_semi").select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
         x, y = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
         common = F.size(F.array_intersect("own_a", "own_b"))
         out = cut(pairs.join(x, "a").join(y, "b").where(common * (top + of) >= (F.col("n_a") + F.col("n_b")) * top).select("a", "b"))
@@ -438,16 +451,16 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
 def keep_one_similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates by ``similar_links``: of each component one row stays, that of the smallest doc_id (nulls last).
 
-    Texts without words are copies of each other. If several rows of a component share that doc_id, the one of the
-    smallest node stays, and one of those that agree in this too. Columns whose names begin with _sh_ are dropped.
+    Texts without words are copies of each other. If several rows of a component share that doc_id, any one of them
+    stays. Columns whose names begin with _sh_ are dropped.
     """
     from xxhash import xxh64_intdigest
 
     cut = Cut(spark, "similar")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in HIDDEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             each = []
             for t in batch.column(batch.schema.get_field_index("text")):
                 h = hashes(t.as_py(), SHINGLE_SIMILAR)
@@ -456,13 +469,10 @@ def keep_one_similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
             nodes = np.array([x[1] for x in each], np.uint64).view(np.int64)
             yield batch.append_column("_sh_fp", pa.array([x[0] for x in each], pa.int64())).append_column("_sh_node", pa.array(nodes)).append_column("_sh_n", pa.array([x[2] for x in each], pa.int64()))
 
-    docs = docs.drop("_sh_fp", "_sh_key", "_sh_node", "_sh_n")
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null/"))
-    rows = cut(docs.mapInArrow(run, f"{kinds}, _sh_fp long, _sh_node long, _sh_n long").withColumn("_sh_key", key(F.col("doc_id"))))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    unique = cut(rows.groupBy(F.col("_sh_node").alias("node")).agg(first.alias("least"), F.min("_sh_fp").alias("fp"), F.min("_sh_n").alias("n")).withColumn("key", key(F.col("least.id"))))
+    docs = docs.drop(*HIDDEN)
+    rows = cut(docs.mapInArrow(run, f"{kinds}, _sh_fp long, _sh_node long, _sh_n long").withColumn("_sh_id", F.monotonically_increasing_id()))
+    unique = rows.groupBy(F.col("_sh_node").alias("node")).agg(_least_row(), F.min("_sh_fp").alias("fp"), F.min("_sh_n").alias("n"))
+    unique = cut(unique.withColumn("id", F.col("least.row")))
     roots = components(spark, similar_links(spark, rows, unique, cut), cut)
-    unique = unique.join(roots, "node", "left").select("node", "least", "key", F.coalesce("root", "node").alias("root"))
-    stays = cut(unique.groupBy("root").agg(F.min(F.struct("least", "node", "key")).alias("s")).select(F.col("s.node").alias("_sh_node"), F.col("s.key").alias("_sh_key")))
-    on = ["_sh_node", "_sh_key"]
-    return rows.join(stays, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+    unique = unique.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    return _rows_that_stay(rows, unique, cut).select(*docs.columns)
