@@ -57,7 +57,10 @@ def test_simhash_rows(spark, awkward, awkward_rows, nothing):
     assert simhash.keep_one(spark, nothing).count() == 0
 
 
-def test_all_similar_texts_are_found(spark):
+@pytest.mark.parametrize(("shared", "block"), [(simhash.SHARED, simhash.BLOCK), (2, 8), (0, simhash.BLOCK)])
+def test_all_similar_texts_are_found(spark, monkeypatch, shared, block):
+    monkeypatch.setattr(simhash, "SHARED", shared)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng, vocabulary = random.Random(7), [f"w{i}" for i in range(500)]
     texts = []
     for _ in range(25):

@@ -27,10 +27,14 @@ KEY_PAIRS, LEAF = 4096, 1024
 SEED = 42
 #: Names that this module gives to columns of its callers' tables.
 HIDDEN = ("_sh_fp", "_sh_id", "_sh_node", "_sh_n")
+#: Nodes that share a shingle and are compared pair by pair; those who share one with more are compared in blocks of so many.
+SHARED, BLOCK = 48, 256
 #: Nodes that a task remembers having listed; those beyond are listed again, which changes nothing.
 LISTED = 1 << 18
 #: Where no contract says otherwise, near-duplicates have a Jaccard similarity of 4/5 or more by five-word shingles.
 SHINGLE_SIMILAR, SIMILAR = 5, (4, 5)
+#: Bits that fingerprints of such texts may differ in: 10 are expected at the least similarity, and this is five standard deviations more.
+FAR = 24
 #: Shingles are counted by so many bits of their hashes, over one in SKETCH_OF texts, to order them from rare to common.
 SKETCH, SKETCH_OF = 17, 8
 
@@ -220,6 +224,17 @@ def _narrowed(hot: DataFrame, corr: np.ndarray, left: list[list[int]]) -> tuple[
     return each.select(F.xxhash64("key", "p.kind", F.col("fp").bitwiseAND(F.col("p.mask"))).alias("key"), F.col("p.kind").alias("kind"), "fp"), rest
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each one reaches, once the links a, b are there too."""
+    while True:
+        low, before = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def _verified(rows: DataFrame) -> DataFrame:
     """``a, b``: a spanning forest of the links within each key of ``rows(key, fp)``, which LEAF fingerprints share at most, or those that agree in almost all bits."""
 
@@ -228,15 +243,7 @@ def _verified(rows: DataFrame) -> DataFrame:
         u = fps.view(np.uint64)
         for at in range(0, len(u), 256):
             a, b = np.nonzero(np.bitwise_count(u[at : at + 256, None] ^ u[None, :]) <= RADIUS)
-            a += at
-            while True:
-                low = np.minimum(root[a], root[b])
-                before = root.copy()
-                np.minimum.at(root, a, low)
-                np.minimum.at(root, b, low)
-                root = root[root]
-                if (root == before).all():
-                    break
+            root = _joined(root, a + at, b)
         at = np.flatnonzero(root != np.arange(len(fps)))
         return fps[root[at]], fps[at]
 
@@ -360,14 +367,67 @@ def _rows_that_stay(rows: DataFrame, unique: DataFrame, cut: Cut) -> DataFrame:
     return rows.join(small(stays), "_sh_id", "left_semi")
 
 
-def rarest(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def rarest(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """Of n distinct hashes, so many of the rarest that two sets of at least SIMILAR similarity list one in common.
 
-    Any fixed order of hashes is right; counts by the hashes' highest bits put common shingles last.
+    Any fixed order of hashes is right; counts by the hashes' highest bits put common shingles last. Also how many of
+    the list the smaller set of a pair needs, if the larger one has its whole list.
     """
     top, of = SIMILAR
     own = h[np.lexsort((h, counts[h >> np.uint64(BITS - SKETCH)]))]
-    return own[: len(h) + len(h) * -top // of + 1]
+    return own[: len(h) + len(h) * -top // of + 1], len(h) + len(h) * -2 * top // (top + of) + 1
+
+
+def _similar_in_blocks(rows: DataFrame) -> DataFrame:
+    """``a, b``: a spanning forest of the similar pairs within each group of ``rows(g, block, node, n, root, own)``.
+
+    Left out are pairs that are connected (of one root), and, where a group has two blocks, those of one block. Overlaps
+    are matrix products over the shingles that occur twice, a few thousand at a time.
+    """
+    top, of = SIMILAR
+
+    def linked(block, node, n, root, own) -> tuple[np.ndarray, np.ndarray]:
+        k, ends = len(node), np.cumsum([len(x) for x in own])
+        _, at, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        place = np.cumsum(often > 1) - 1
+        owner = np.searchsorted(ends, np.arange(len(at)), side="right")
+        twice = often[at] > 1
+        at, owner = place[at[twice]], owner[twice]
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        common = np.zeros((k, k), np.float32)  # whole numbers below 2**24
+        for begin in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
+            i, j = np.searchsorted(at, (begin, begin + 2048))
+            x = np.zeros((k, 2048), np.float32)
+            x[owner[i:j], at[i:j] - begin] = 1
+            common += x @ x.T
+        near = common.astype(np.int64) * (top + of) >= (n[:, None] + n[None, :]) * top
+        near &= root[:, None] != root[None, :]
+        if block.min() != block.max():
+            near &= block[:, None] != block[None, :]
+        found = _joined(np.arange(k), *np.nonzero(np.triu(near, 1)))
+        at = np.flatnonzero(found != np.arange(k))
+        return node[found[at]], node[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            block, node, n, root = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3, 4))
+            a, b = linked(block, node, n, root, [r[5] for r in held])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for i, row in enumerate(zip(*columns, strict=True)):
+                if held and held[-1][0] != row[0]:
+                    yield done()
+                    held = []
+                held.append((*row, batch.column(5)[i].values.to_numpy()))
+        if held:
+            yield done()
+
+    return rows.select("g", "block", "node", "n", "root", "own").repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
 def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut: Cut) -> DataFrame:
@@ -375,8 +435,9 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
 
     ``rows`` have ``_sh_node, _sh_id, text``, and ``unique`` has ``node, fp, id, n``: a node is a distinct set of n, id the
     row that stands for it. Candidates are SimHash links and those who list a rare shingle in common, which no pair
-    escapes; each is tested on its whole sets. First each is held against the least of its fingerprint or shingle,
-    then against those who share a shingle and are not connected yet, so that near-copies are not expanded into pairs.
+    escapes; those whose fingerprints are FAR apart are left, and each other one is tested on its whole sets. First each
+    is held against three of the least nodes of its shingles, and the least of its fingerprint; then against those who
+    share a shingle and are not connected yet, so that near-copies are not expanded into pairs.
     """
     top, of = SIMILAR
 
@@ -399,19 +460,19 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
                     done.add(node)
                     h = np.unique(hashes(text.as_py(), SHINGLE_SIMILAR))
                     if len(h):
-                        rare = rarest(h, counts.value).view(np.int64)
-                        found.append((rare, np.full(len(rare), node, np.int64), np.full(len(rare), len(h), np.int32)))
+                        rare, first = rarest(h, counts.value)
+                        found.append((rare.view(np.int64), np.full(len(rare), node, np.int64), np.full(len(rare), len(h), np.int32), np.arange(len(rare)) < first))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["key", "node", "n", "first"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in slices(batch)):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(hashes(t.as_py(), SHINGLE_SIMILAR)).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], ["node", "own"])
 
     def tested(pairs: DataFrame) -> DataFrame:
-        size = lambda c: unique.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+        size = lambda c: unique.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        pairs = cut(pairs.join(size("a"), "a").join(size("b"), "b").where((F.col("n_a") * of >= F.col("n_b") * top) & (F.col("n_b") * of >= F.col("n_a") * top)))
+        pairs = cut(pairs.join(size("a"), "a").join(size("b"), "b").where((F.col("n_a") * of >= F.col("n_b") * top) & (F.col("n_b") * of >= F.col("n_a") * top) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR)).drop("fp_a", "fp_b"))
         need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(unique, "node").select(F.col("id").alias("_sh_id")))
         sets = cut(rows.join(small(need), "_sh_id", "left_semi").select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
         x, y = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
@@ -425,7 +486,7 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
     for cell, n in some.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most 2**SKETCH rows
         table[cell] = n
     counts = spark.sparkContext.broadcast(table)
-    keys = rows.select("_sh_node", "text").mapInArrow(listed, "key long, node long, n int").repartition("key")  # rows of three numbers, moved once
+    keys = rows.select("_sh_node", "text").mapInArrow(listed, "key long, node long, n int, first boolean").repartition("key")  # rows of three numbers, moved once
     busy = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
     shared = cut(keys.join(busy.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"]))
 
@@ -434,18 +495,36 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
     name = lambda c: fps.select(F.col("fp").alias(c), F.col("head").alias(f"n_{c}"))
     near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
     same = unique.join(fps, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    first = tested(near.unionByName(same).unionByName(shared.select(F.col("least").alias("a"), F.col("node").alias("b"))))
+    few = shared.groupBy("node").agg(F.array(F.min("least"), F.max("least"), F.min_by("least", "key")).alias("some"))
+    first = tested(near.unionByName(same).unionByName(few.select(F.explode(F.array_distinct("some")).alias("a"), F.col("node").alias("b"))))
     roots = components(spark, first, cut)
-    rooted = cut(shared.join(roots, "node", "left").select("key", "node", "n", "least", F.coalesce("root", "node").alias("root")))
+    rooted = cut(shared.join(roots, "node", "left").select("key", "node", "n", "first", F.coalesce("root", "node").alias("root")))
     cut.drop(shared)
     split = cut(rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"))
-    left = cut(rooted.join(split, "key", "left_semi"))
+    left = cut(rooted.join(split, "key", "left_semi").join(unique.select("node", "fp"), "node"))
     cut.drop(rooted)
-    x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    apart &= (F.col("x.node") != F.col("x.least")) & (F.col("x.n") * of >= F.col("y.n") * top) & (F.col("y.n") * of >= F.col("x.n") * top)
+    # few who share a shingle meet pair by pair
+    often = cut(left.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("least")))
+    calm = left.join(often.where(F.col("k") <= SHARED).select("key"), "key", "left_semi")
+    x, y = calm.where("first").alias("x"), calm.alias("y")
+    smaller = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & smaller & (F.col("x.n") * of >= F.col("y.n") * top)
+    apart &= F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR
     second = tested(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    return first.unionByName(second)
+    # many, and those who share other shingles with them, meet in blocks: each pair once, whatever they share
+    busy = cut(left.join(often.where(F.col("k") > SHARED).select("key", "least"), "key").select("node", "n", "root", "least").distinct())
+    crowds = components(spark, busy.select(F.col("least").alias("a"), F.col("node").alias("b")), cut)
+    members = cut(busy.select("node", "n", "root").distinct().join(crowds.withColumnRenamed("root", "crowd"), "node"))
+    blocks = members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    g = F.xxhash64("crowd", F.least("block", "with"), F.greatest("block", "with"))
+    meet = members.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("g", g).select("g", "block", "node", "n", "root")
+    need = cut(members.select("node").distinct().join(unique, "node").select(F.col("id").alias("_sh_id")))
+    sets = cut(rows.join(small(need), "_sh_id", "left_semi").select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
+    third = cut(_similar_in_blocks(meet.join(sets, "node")))
+    cut.drop(left, busy, need, sets)
+    return first.unionByName(second).unionByName(third)
+
 
 
 def keep_one_similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
