@@ -17,7 +17,7 @@ LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM
 #: Different surroundings of one anchor that a task sorts together; more are first told apart by the bytes next to it.
-GROUP = 4096
+GROUP = 16_384
 #: Window starts that are handled together, in each round of telling the anchors of larger groups apart.
 WIDTHS = (57, 8, 1)
 #: Depth to which suffixes are sorted by multikey quicksort before blind tries take over.
