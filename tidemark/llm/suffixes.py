@@ -374,7 +374,7 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, cut: Cut) -> DataFrame:
     """``rid, spans``: of texts (by MD5) with bytes to be removed, intervals that cover them."""
-    # counts are written before they are joined, so that the many rows of one key can be split between tasks
+    # counts and levels are written before they are joined, so that the many rows of one key can be split between tasks
     n_keys = cut(anchor_keys(docs).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     rows = cut(anchor_rows(docs).join(n_keys, "key"))
     contexts = cut(rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "pos", "right")).alias("p")))
@@ -400,7 +400,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, cut: Cut) -> DataFrame:
             few = each.join(sizes.where(F.col("k") <= GROUP), "sub").select("sub", "zone", "key", "ctx", "low", "high")
             few = few.join(around.select("key", "ctx", "left", "bytes"), ["key", "ctx"]).select("sub", "zone", "left", "bytes", "low", "high")
             same = same.unionByName(_sorted_groups(few))
-        same = same.groupBy("sub", "zone").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        same = cut(same.groupBy("sub", "zone").agg(F.min("first").alias("first"), F.max("last").alias("last")))
         hits.append(cut(zones.select("key", "ctx", "sub", "zone").join(same, ["sub", "zone"]).select("key", "ctx", "first", "last")))
         many = sizes.where(F.col("k") > GROUP)
         if width == 1 or many.limit(1).count() == 0:
@@ -409,7 +409,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, cut: Cut) -> DataFrame:
     out = hits[0]
     for more in hits[1:]:
         out = out.unionByName(more)
-    out = out.groupBy("key", "ctx").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("last >= first")
+    out = cut(out.groupBy("key", "ctx").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("last >= first"))
     own = F.array(F.struct((F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + LENGTH).alias("end")))
     spans = rows.join(out, ["key", "ctx"]).select("rid", F.explode(F.concat(own, F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")))).alias("s")).distinct()
     return spans.groupBy("rid").agg(F.collect_list("s").alias("spans"))  # no more than a text has anchors
