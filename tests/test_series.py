@@ -210,6 +210,24 @@ def test_blocks_give_the_same_running_sums(spark):
     assert sorted(map(tuple, summary.cumulative(s).collect())) == sorted(map(tuple, summary.cumulative(s, block=100).collect()))
 
 
+def test_blocks_give_the_same_windows(spark):
+    rng = random.Random(7)
+    keys = {p: sorted(rng.sample(range(60), 20) + rng.sample(range(400, 430), 9) + [900]) for p in ("a", "b", None)}
+    df = spark.createDataFrame([(p, k, float(rng.randrange(9))) for p, own in keys.items() for k in own], "p string, k long, v double")
+    panel, alone = Series.of(df, "k", "v", ("p",)), Series.of(df.where("p = 'a'"), "k", "v")
+    for s in (panel, alone):
+        rows = lambda x: sorted(map(repr, x.to_df().collect()))
+        for frame in [{"count": 4}, {"count": 4, "incomplete": True}, *({"width": 7, "lookup": x} for x in Lookup if x is not Lookup.EQ)]:
+            whole, cut = (rows(s.windowed(Frame(**frame, block=b), n="count", total="sum", first="first_key", mid="median")) for b in (None, 8))
+            assert whole and whole == cut, frame
+        for n, step in ((1, 1), (3, 2)):
+            assert rows(s.lag(n, step)) == rows(s.lag(n, step, block=5))
+    with pytest.raises(ValueError):
+        Frame(count=4, block=3)
+    with pytest.raises(ValueError):
+        panel.lag(3, block=3)
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([([3.0, 1.0, 3.0, 2.0],), ([5.0],)], "a array<double>").select(moving.rank_array(F.col("a")))
     assert [r[0] for r in df.collect()] == [[2, 0, 3, 1], [0]]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import stored
+from ..plans.blocks import numbered
 from ..series import Series
 
 
@@ -51,14 +51,6 @@ def ordered_head(s: Series, n: int) -> DataFrame:
 
 
 def ordered(s: Series, reverse: bool = False) -> DataFrame:
-    """All rows in order of partition and key, or in reverse, with their place from 1.
-
-    Rows are dealt to ranges of the order; each range is numbered on its own, and the counts of ranges before it are
-    carried over. The ranges are written first, since dealing samples rows and may differ from run to run.
-    """
+    """All rows in order of partition and key, or in reverse, with their place from 1, without a task that has all."""
     by = [F.desc(c) if reverse else F.asc(c) for c in s.node.on()]
-    rows = stored(s.node.observed().repartitionByRange(*by).withColumn("_r", F.spark_partition_id()), "ordered")
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    carry = rows.groupBy("_r").agg(F.count("*").alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"))
-    place = F.row_number().over(Window.partitionBy("_r").orderBy(*by)) + F.col("_c")
-    return rows.join(F.broadcast(carry), "_r").select(*s.node.on(), "v", place.cast("long").alias("place"))
+    return numbered(s.node.observed(), by, "place").select(*s.node.on(), "v", "place")

@@ -8,6 +8,8 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import by_keys, by_rows
+
 
 class Lookup(Enum):
     """Direction of a search from a key."""
@@ -26,8 +28,8 @@ class Frame:
     By count, rows before the count-th give nothing unless ``incomplete``. By width: LE takes keys in [k - w, k],
     LT in (k - w, k], both for every row; GE reaches back to the greatest key at or before k - w, GT to the
     greatest before it, and rows without such a key give nothing. Width windows need keys that can be subtracted,
-    and whole-number widths. ``block``, for LE and LT: keys of a partition are cut into blocks of that width, no less
-    than the window's, and rows near a block's end are repeated in the next, so that no task needs a whole partition.
+    and whole-number widths. ``block``, of so many rows or that width of keys, and no less than the window: a partition
+    is cut into blocks, and what a block's rows look back to is repeated in it, so that no task needs a whole partition.
     """
 
     count: int | None = None
@@ -43,8 +45,8 @@ class Frame:
             raise ValueError("a window's size is positive")
         if self.width is not None and self.lookup is Lookup.EQ:
             raise ValueError("EQ has no meaning for a window's left edge")
-        if self.block is not None and (self.width is None or self.lookup not in (Lookup.LE, Lookup.LT) or self.block < self.width):
-            raise ValueError("blocks are for LE and LT windows, and no narrower than the window")
+        if self.block is not None and self.block < (self.count if self.width is None else self.width):
+            raise ValueError("blocks are no narrower than the window")
 
     def apply(self, df: DataFrame, part: tuple[str, ...], value: Column, **makers: str) -> DataFrame:
         """``df`` with a column for each maker: name="sum", "count", "avg", "min", "max", "var", "std", "first_key", "rows", "median", "z".
@@ -52,6 +54,16 @@ class Frame:
         All share one sort. GE and GT frames are those of [k - w, k] and, where that is later, the edge row; sums and
         variances of the two are combined, so no frame is unbounded but the running search for the edge.
         """
+        if self.block:
+            if self.count is not None:
+                df = by_rows(df, part, self.count - 1, self.block)
+            else:
+                df = by_keys(df, part, self.width, self.block, self.lookup in (Lookup.GE, Lookup.GT))
+            out = self._framed(df, (*part, "_block"), value, **makers)
+            return out.where("_block = _own").drop("_block", "_own", "_place")
+        return self._framed(df, part, value, **makers)
+
+    def _framed(self, df: DataFrame, part: tuple[str, ...], value: Column, **makers: str) -> DataFrame:
         order = Window.partitionBy(*part).orderBy("k")
         if self.count is not None:
             frame = order.rowsBetween(1 - self.count, 0)
@@ -59,13 +71,8 @@ class Frame:
             return df if self.incomplete else df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") >= self.count).drop("_n")
         w = self.width
         if self.lookup in (Lookup.LE, Lookup.LT):
-            if self.block:
-                own, last = F.floor(F.col("k") / self.block), F.floor((F.col("k") + w) / self.block)
-                df = df.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, last)))
-                order = Window.partitionBy(*part, "_block").orderBy("k")
             frame = order.rangeBetween(-w if self.lookup is Lookup.LE else 1 - w, 0)
-            df = df.withColumns({name: _native(kind, value).over(frame) if kind != "z" else _z(value, frame) for name, kind in makers.items()})
-            return df.where("_block = _own").drop("_block", "_own") if self.block else df
+            return df.withColumns({name: _native(kind, value).over(frame) if kind != "z" else _z(value, frame) for name, kind in makers.items()})
         near = order.rangeBetween(-w, 0)
         upto = order.rangeBetween(Window.unboundedPreceding, -w if self.lookup is Lookup.GE else -w - 1)
         edge = F.last(F.struct(F.col("k").alias("k"), value.alias("v"))).over(upto)

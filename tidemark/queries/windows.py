@@ -26,10 +26,15 @@ def _flat(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(c for c in df.columns if c != "v"), *(F.col(f"v.{n}").alias(n) for n in names))
 
 
-@query("lag1_lag", f"SELECT user_id, k, v, lag(k, 2) OVER w AS lag_k, lag(v, 2) OVER w AS lag_v FROM e WINDOW w AS ({_BY}) QUALIFY row_number() OVER w > 2 AND (row_number() OVER w - 3) % 3 = 0")
-def lag1(spark: SparkSession, d: str) -> DataFrame:
-    out = user_series(spark, d).lag(2, step=3).to_df()
-    return out.select("user_id", "k", F.col("v.value").alias("v"), F.col("v.lagged.key").alias("lag_k"), F.col("v.lagged.value").alias("lag_v"))
+def _lag(name: str, block: int | None = None) -> None:
+    @query(name, f"SELECT user_id, k, v, lag(k, 2) OVER w AS lag_k, lag(v, 2) OVER w AS lag_v FROM e WINDOW w AS ({_BY}) QUALIFY row_number() OVER w > 2 AND (row_number() OVER w - 3) % 3 = 0")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = user_series(spark, d).lag(2, step=3, block=block).to_df()
+        return out.select("user_id", "k", F.col("v.value").alias("v"), F.col("v.lagged.key").alias("lag_k"), F.col("v.lagged.value").alias("lag_v"))
+
+
+_lag("lag1_lag")
+_lag("lag1_lag_blocks", 1000)
 
 
 @query("lag2_zip_lag", f"SELECT user_id, k, round(v - lag(v) OVER w, 4) AS v FROM e WINDOW w AS ({_BY}) QUALIFY row_number() OVER w > 1")
@@ -42,17 +47,19 @@ def lag3(spark: SparkSession, d: str) -> DataFrame:
     return user_series(spark, d).zip_lag(lambda k, v, pk, pv: F.round((v - pv) / ((k - pk) / 1e6), 6) + 0.0).to_df()
 
 
-def _count(name: str, n: int, incomplete: bool) -> None:
+def _count(name: str, n: int, incomplete: bool, block: int | None = None) -> None:
     keep = "" if incomplete else f"QUALIFY row_number() OVER ({_BY}) >= {n}"
 
     @query(name, f"SELECT user_id, k, count(*) OVER f AS n, round(sum(v) OVER f, 4) AS total FROM e WINDOW f AS ({_BY} ROWS {n - 1} PRECEDING) {keep}")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = user_series(spark, d).windowed(Frame(count=n, incomplete=incomplete), n="count", total="sum").to_df()
+        out = user_series(spark, d).windowed(Frame(count=n, incomplete=incomplete, block=block), n="count", total="sum").to_df()
         return _flat(out, "n", "total").withColumn("total", rounded("total"))
 
 
 _count("win1_count_complete", 10, False)
+_count("win1_count_complete_blocks", 10, False, 1000)
 _count("win2_count_incomplete", 10, True)
+_count("win2_count_incomplete_blocks", 10, True, 1000)
 
 
 def _width(name: str, lookup: Lookup, sql: str, block: int | None = None) -> None:
@@ -69,7 +76,9 @@ _width("win3_width_le", Lookup.LE, _NATIVE.format(_BY, W))
 _width("win3_width_le_blocks", Lookup.LE, _NATIVE.format(_BY, W), 4 * W)
 _width("win4_width_lt", Lookup.LT, _NATIVE.format(_BY, W - 1))
 _width("win5_width_ge", Lookup.GE, _GROUPED.format(_left("<=")))
+_width("win5_width_ge_blocks", Lookup.GE, _GROUPED.format(_left("<=")), 4 * W)
 _width("win6_width_gt", Lookup.GT, _GROUPED.format(_left("<")))
+_width("win6_width_gt_blocks", Lookup.GT, _GROUPED.format(_left("<")), 4 * W)
 
 
 @query("win7_width_eq_refused", "SELECT 'EQ has no meaning for a window''s left edge' AS message")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .plans import nodes as N
+from .plans.blocks import by_rows
 from .plans.frames import Frame, Lookup
+from .plans.staging import stored
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -259,11 +261,28 @@ class Series:
     def _order(self):
         return Window.partitionBy(*self.node.part).orderBy("k")
 
-    def lag(self, n: int = 1, step: int = 1) -> Series:
-        """``v`` becomes (value, lagged (key, value)); the first n rows are absent, and of the others each step-th stays."""
-        w = self._order()
+    def lag(self, n: int = 1, step: int = 1, block: int | None = None) -> Series:
+        """``v`` becomes (value, lagged (key, value)); the first n rows are absent, and of the others each step-th stays.
+
+        ``block``: rows are cut into blocks of so many, more than n, so that no task needs a whole partition.
+        """
+        part, w = self.node.part, self._order()
+        if block is not None and block <= n:
+            raise ValueError("blocks are wider than the lag")
 
         def go(df: DataFrame) -> DataFrame:
+            if block:
+                df = by_rows(df, part, n, block)
+                own = Window.partitionBy(*part, "_block").orderBy("k")
+                lagged = F.lag(F.struct(F.col("k").alias("key"), F.col("v").alias("value")), n).over(own)
+                out = df.withColumn("v", F.struct(F.col("v").alias("value"), lagged.alias("lagged"))).where((F.col("_block") == F.col("_own")) & F.col("v.lagged").isNotNull())
+                if step > 1:
+                    # written, so that the rows of a large partition can be split between tasks
+                    first = df.groupBy(*(F.col(c).alias(f"_of_{c}") for c in part)).agg(F.min("_place").alias("_first"))
+                    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part]
+                    out = out.join(stored(first, "lag"), on) if part else out.withColumn("_first", F.lit(1))
+                    out = out.where((F.col("_place") - F.col("_first") - n) % step == 0).drop("_first", *(f"_of_{c}" for c in part))
+                return out.drop("_place", "_own", "_block")
             df = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("v", F.struct(F.col("v").alias("value"), F.lag(F.struct(F.col("k").alias("key"), F.col("v").alias("value")), n).over(w).alias("lagged")))
             return df.where((F.col("_i") >= n) & ((F.col("_i") - n) % step == 0)).drop("_i")
 
@@ -291,22 +310,22 @@ class Series:
         """Sub-series: arrays of (k, v) in key order."""
         return self.windowed(Frame(count, width, lookup, incomplete), rows="rows")
 
-    def sma(self, count: int | None = None, width: int | None = None, lookup: Lookup = Lookup.GE, incomplete: bool = False) -> Series:
-        return self.windowed(Frame(count, width, lookup, incomplete), avg="avg")
+    def sma(self, count: int | None = None, width: int | None = None, lookup: Lookup = Lookup.GE, incomplete: bool = False, block: int | None = None) -> Series:
+        return self.windowed(Frame(count, width, lookup, incomplete, block), avg="avg")
 
-    def stat2(self, count: int | None = None, width: int | None = None, lookup: Lookup = Lookup.GE, incomplete: bool = False) -> Series:
+    def stat2(self, count: int | None = None, width: int | None = None, lookup: Lookup = Lookup.GE, incomplete: bool = False, block: int | None = None) -> Series:
         """Count, sum, mean, variance, deviation and z-score of the last value; of one row the last three are null."""
         part = self.node.part
 
         def go(df: DataFrame) -> DataFrame:
-            out = Frame(count, width, lookup, incomplete).apply(df, part, F.col("v"), _a="first_key", _b="count", _c="sum", _d="avg", _e="var", _f="std", _g="z")
+            out = Frame(count, width, lookup, incomplete, block).apply(df, part, F.col("v"), _a="first_key", _b="count", _c="sum", _d="avg", _e="var", _f="std", _g="z")
             stats = F.struct(F.col("_a").alias("start"), F.col("k").alias("end"), F.col("v").alias("end_value"), F.col("_b").alias("count"), F.col("_c").alias("sum"), F.col("_d").alias("mean"), (F.col("_e") * (F.col("_b") - 1)).alias("sum2"), F.col("_e").alias("variance"), F.col("_f").alias("stdev"), F.col("_g").alias("zscore"))
             return out.select(*part, "k", stats.alias("v"))
 
         return self._ordered(go)
 
-    def moving_median(self, n: int, incomplete: bool = False) -> Series:
-        return self.windowed(Frame(count=n, incomplete=incomplete), median="median")
+    def moving_median(self, n: int, incomplete: bool = False, block: int | None = None) -> Series:
+        return self.windowed(Frame(count=n, incomplete=incomplete, block=block), median="median")
 
     # order and changes
     def validated(self) -> Series:
