@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import embeddings, mixing, pieces, quality, secrets, sharding, simhash, suffixes, transcripts
+from tidemark.llm import common, embeddings, mixing, pieces, quality, secrets, sharding, simhash, suffixes, transcripts
 from tidemark.llm.common import Cut, components
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,6 +41,19 @@ def test_no_components(spark):
     assert components(spark, spark.createDataFrame([(1, 1)], "a long, b long"), Cut(spark, "t")).count() == 0
 
 
+def test_few_edges_take_no_rounds(spark):
+    cut, links = Cut(spark, "t"), [(i, i + 1) for i in range(400)]
+    got = components(spark, spark.createDataFrame(links, "a long, b long").repartition(16), cut)
+    assert {tuple(r) for r in got.collect()} == {(n, 0) for n in range(401)}
+    assert cut.n == 2
+
+
+@pytest.mark.parametrize("edges", [0, 20])
+def test_rounds_beyond_what_a_task_joins(spark, monkeypatch, edges):
+    monkeypatch.setattr(common, "EDGES", edges)
+    test_components(spark)
+
+
 # SimHash
 
 

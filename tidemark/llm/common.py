@@ -138,10 +138,16 @@ def components(spark: SparkSession, edges: DataFrame, cut: Cut) -> DataFrame:
     edges with one minimum per node, so a hub's edges are never gathered in one place: minima are partial aggregates,
     written before they are joined, so that a hot side of the join can be split. Nodes without an edge to a different
     node are absent. Rows with a null end are ignored. Every round is written to the shared folder; the number of
-    rounds is not limited, and every round that is not the last brings some node nearer to its smallest one.
+    rounds is not limited, and every round that is not the last brings some node nearer to its smallest one. EDGES or fewer
+    are joined by one task at once, so that small graphs take no rounds.
     """
     e = cut(_joined_stars(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).distinct())
     while True:
+        if e.count() <= EDGES:
+            last = cut(_joined_stars(e.coalesce(1)))
+            cut.drop(e)
+            e = last
+            break
         # stars: every u has one v, and no v is itself a u
         one = lambda c, is_u: e.select(F.col(c).alias("x"), F.lit(is_u).alias("is_u"))  # noqa: E731, B023
         bad = one("u", 1).unionByName(one("v", 0)).groupBy("x").agg(F.sum("is_u").alias("ups"), F.min("is_u").alias("low")).where("ups > 1 OR (ups > 0 AND low = 0)")

@@ -292,6 +292,7 @@ def links(spark: SparkSession, unique: DataFrame, cut: Cut) -> DataFrame:
         hist[cell] = n
     tables = spark.sparkContext.broadcast([balls(h, len(own)) for h, own in zip(hist.reshape(parts, -1), groups, strict=True)])
     rows = cut(keys(unique, groups, tables))
+    tables.destroy()
     probes = F.sum(F.col("probe").cast("long"))
     pairs = (F.count("*") - probes) * probes
     busy = rows.groupBy("part", "value").agg(pairs.alias("pairs")).where("pairs > 1")
@@ -483,12 +484,13 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
 
     some = rows.where(f"pmod(_sh_node, {SKETCH_OF}) = 0").select("text")  # of texts, for an order only
     table = np.zeros(1 << SKETCH, np.int64)
-    for cell, n in some.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():  # at most 2**SKETCH rows
-        table[cell] = n
+    found = some.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**SKETCH rows
+    table[found["cell"].to_numpy()] = found["n"].to_numpy()
     counts = spark.sparkContext.broadcast(table)
     keys = rows.select("_sh_node", "text").mapInArrow(listed, "key long, node long, n int, first boolean").repartition("key")  # rows of three numbers, moved once
     busy = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
     shared = cut(keys.join(busy.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"]))
+    counts.destroy()
 
     fps = cut(unique.groupBy("fp").agg(F.min("node").alias("head")))
     near = links(spark, fps.select("fp"), cut)
