@@ -94,6 +94,14 @@ def test_all_similar_texts_are_found(spark, monkeypatch, shared, block):
     assert sorted(r["doc_id"] for r in simhash.keep_one_similar(spark, docs).collect()) == sorted(set(brute.components(len(texts), pairs)))
 
 
+def test_shingles_of_all_texts_are_counted(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(30)]
+    found, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: found.append(x) or broadcast(x))
+    simhash.keep_one_similar(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(int(x.sum()) for x in found if isinstance(x, np.ndarray)) == 30 * 16
+
+
 @pytest.mark.parametrize(("key_pairs", "leaf", "parts"), [(simhash.KEY_PAIRS, simhash.LEAF, (3,)), (20, simhash.LEAF, (3,)), (20, 6, (3,)), (1, 1, (3,)), (simhash.KEY_PAIRS, 6, (2,)), (20, 6, (2,)), (1, 2, (4,))])
 def test_simhash_links_are_all_found(spark, monkeypatch, key_pairs, leaf, parts):
     for name, value in (("KEY_PAIRS", key_pairs), ("LEAF", leaf), ("PARTS", parts)):

@@ -35,8 +35,8 @@ LISTED = 1 << 18
 SHINGLE_SIMILAR, SIMILAR = 5, (4, 5)
 #: Bits that fingerprints of such texts may differ in: 10 are expected at the least similarity, and this is five standard deviations more.
 FAR = 24
-#: Shingles are counted by so many bits of their hashes, over one in SKETCH_OF texts, to order them from rare to common.
-SKETCH, SKETCH_OF = 17, 8
+#: Shingles are counted by so many bits of their hashes, over all texts, to order them from rare to common.
+SKETCH = 17
 
 
 def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -482,9 +482,8 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
         cut.drop(pairs, need, sets)
         return out
 
-    some = rows.where(f"pmod(_sh_node, {SKETCH_OF}) = 0").select("text")  # of texts, for an order only
     table = np.zeros(1 << SKETCH, np.int64)
-    found = some.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**SKETCH rows
+    found = rows.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**SKETCH rows
     table[found["cell"].to_numpy()] = found["n"].to_numpy()
     counts = spark.sparkContext.broadcast(table)
     keys = rows.select("_sh_node", "text").mapInArrow(listed, "key long, node long, n int, first boolean").repartition("key")  # rows of three numbers, moved once
