@@ -94,6 +94,35 @@ def test_all_similar_texts_are_found(spark, monkeypatch, shared, block):
     assert sorted(r["doc_id"] for r in simhash.keep_one_similar(spark, docs).collect()) == sorted(set(brute.components(len(texts), pairs)))
 
 
+def test_crowds_are_met_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    test_all_similar_texts_are_found(spark, monkeypatch, 0, 8)
+
+
+def test_no_similar_texts_are_refused_by_their_marks():
+    rng, kept, refused = np.random.default_rng(5), 0, 0
+    for n in (1, 5, 31, 33, 700, 9000):
+        for share in (0.3, 0.6, 0.8, 0.89, 0.9, 1.0):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[: round(n * share)], rng.integers(0, 1 << 63, n - round(n * share) + n // 16).astype(np.uint64)])
+            own, sizes = [np.unique(a), np.unique(b)], np.array([len(a), len(b)])
+            ok = bool(simhash.may_be_similar(sizes, np.zeros(2, np.int64), [simhash.marks(x) for x in own], np.array([0]), np.array([1]))[0])
+            similar = 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+            assert ok or not similar
+            kept, refused = kept + similar, refused + (not ok)
+    assert kept >= 10 and refused >= 10
+
+
+def test_shared_keys(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.randrange(4) if k % 3 else k, 1, True) for k in range(-400, 400) for _ in range(rng.randrange(4))] + [(1000, i % 30_000, 1, True) for i in range(40_000)]
+    nodes = {}
+    for k, node, _, _ in rows:
+        nodes.setdefault(k, set()).add(node)
+    want = sorted((k, x, 1, True, min(own)) for k, own in nodes.items() if len(own) > 1 for x in own)
+    assert sorted(map(tuple, simhash._shared_keys(spark.createDataFrame(rows, "key long, node long, n int, first boolean")).collect())) == want
+
+
 def test_shingles_of_all_texts_are_counted(spark, monkeypatch):
     texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(30)]
     found, broadcast = [], spark.sparkContext.broadcast
@@ -102,6 +131,17 @@ def test_shingles_of_all_texts_are_counted(spark, monkeypatch):
     assert sum(int(x.sum()) for x in found if isinstance(x, np.ndarray)) == 30 * 16
 
 
+def test_whole_sets_are_moved_only_where_marks_agree(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    moved, blocks = [], simhash._similar_in_blocks
+    monkeypatch.setattr(simhash, "_similar_in_blocks", lambda rows: moved.append(rows.count()) or blocks(rows))
+    rng, passage = random.Random(8), [f"p{i}" for i in range(300)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(200)]) for _ in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one_similar(spark, docs).count() == 90
+    assert moved == [0]
+
+
 @pytest.mark.parametrize(("key_pairs", "leaf", "parts"), [(simhash.KEY_PAIRS, simhash.LEAF, (3,)), (20, simhash.LEAF, (3,)), (20, 6, (3,)), (1, 1, (3,)), (simhash.KEY_PAIRS, 6, (2,)), (20, 6, (2,)), (1, 2, (4,))])
 def test_simhash_links_are_all_found(spark, monkeypatch, key_pairs, leaf, parts):
     for name, value in (("KEY_PAIRS", key_pairs), ("LEAF", leaf), ("PARTS", parts)):

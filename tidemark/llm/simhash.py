@@ -26,9 +26,9 @@ PROBE_COST = 2.0
 KEY_PAIRS, LEAF = 4096, 1024
 SEED = 42
 #: Names that this module gives to columns of its callers' tables.
-HIDDEN = ("_sh_fp", "_sh_id", "_sh_node", "_sh_n")
-#: Nodes that share a shingle and are compared pair by pair; those who share one with more are compared in blocks of so many.
-SHARED, BLOCK = 48, 256
+HIDDEN = ("_sh_fp", "_sh_id", "_sh_node", "_sh_n", "_sh_marks")
+#: Nodes that share a shingle and are compared pair by pair; those who share one with more are compared in blocks: of so many by whole sets, of CROWD by their marks.
+SHARED, BLOCK, CROWD = 48, 256, 2048
 #: Nodes that a task remembers having listed; those beyond are listed again, which changes nothing.
 LISTED = 1 << 18
 #: Where no contract says otherwise, near-duplicates have a Jaccard similarity of 4/5 or more by five-word shingles.
@@ -37,6 +37,8 @@ SHINGLE_SIMILAR, SIMILAR = 5, (4, 5)
 FAR = 24
 #: Shingles are counted by so many bits of their hashes, over all texts, to order them from rare to common.
 SKETCH = 17
+#: Marks of a text are two to four bits for each different shingle, and no more than 2**MARKS; of pairs, so many words are held at a time.
+MARKS, MARK_WORDS = 14, 1 << 19
 
 
 def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -379,6 +381,108 @@ def rarest(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     return own[: len(h) + len(h) * -top // of + 1], len(h) + len(h) * -2 * top // (top + of) + 1
 
 
+def marks(h: np.ndarray) -> bytes:
+    """Of each value of the lowest bits, whether an odd number of the distinct hashes has it: two sets differ in at least as many hashes as their marks do in bits."""
+    m = 1 << min(max((2 * len(h) - 1).bit_length(), 6), MARKS)
+    return np.packbits(np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(n: np.ndarray, fps: np.ndarray, own: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of places a, b can be similar, by sizes n, fingerprints and marks; no pair of SIMILAR similarity and within FAR is refused."""
+    top, of = SIMILAR
+    ok = (n[a] * of >= n[b] * top) & (n[b] * of >= n[a] * top) & (np.bitwise_count(fps.view(np.uint64)[a] ^ fps.view(np.uint64)[b]) <= FAR)
+    words = np.array([len(x) // 8 for x in own], np.int64)
+    least = np.minimum(words[a], words[b])
+    for m in np.unique(least[ok]):
+        who = np.flatnonzero(ok & (least == m))
+        used = np.unique(np.concatenate([a[who], b[who]]))
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(own[i], np.uint64).reshape(-1, m)) for i in used])  # longer marks, as if they were of m words
+        step = max(1, MARK_WORDS // int(m))
+        for at in range(0, len(who), step):
+            w = who[at : at + step]
+            apart = np.bitwise_count(folded[np.searchsorted(used, a[w])] ^ folded[np.searchsorted(used, b[w])]).sum(1, dtype=np.int64)
+            ok[w] = apart * (top + of) <= (n[a[w]] + n[b[w]]) * (of - top)
+    return ok
+
+
+def _close_in_blocks(rows: DataFrame) -> DataFrame:
+    """``a, b``: a spanning forest of the pairs that may be similar within each group of ``rows(g, block, node, n, root, fp, marks)``; pairs are left out as in ``_similar_in_blocks``."""
+
+    def linked(block, node, n, root, fps, own) -> tuple[np.ndarray, np.ndarray]:
+        k, two = len(node), block.min() != block.max()
+        found, step = np.arange(k), max(1, (1 << 20) // k)
+        for at in range(0, k, step):
+            i = np.arange(at, min(at + step, k))
+            near = (root[i, None] != root[None, :]) & (i[:, None] < np.arange(k)[None, :])
+            if two:
+                near &= block[i, None] != block[None, :]
+            a, b = np.nonzero(near)
+            a += at
+            ok = may_be_similar(n, fps, own, a, b)
+            found = _joined(found, a[ok], b[ok])
+        at = np.flatnonzero(found != np.arange(k))
+        return node[found[at]], node[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            a, b = linked(*(np.array([r[i] for r in held], np.int64) for i in (1, 2, 3, 4, 5)), [r[6] for r in held])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield done()
+                    held = []
+                held.append(row)
+        if held:
+            yield done()
+
+    return rows.select("g", "block", "node", "n", "root", "fp", "marks").repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+
+
+def _met(members: DataFrame, size: int) -> DataFrame:
+    """``members`` with ``g, block``: those of a crowd in blocks of about size, and a group for each block and each two blocks."""
+    blocks = members.groupBy("crowd").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    members = members.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    g = F.xxhash64("crowd", F.least("block", "with"), F.greatest("block", "with"))
+    return members.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("g", g)
+
+
+def _shared_keys(keys: DataFrame) -> DataFrame:
+    """``key, node, n, first, least`` of keys that several nodes list, each node once, and the least node of the key; rows are moved once and each task reads its own in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "node", "n", "first", "least"]
+        held, least_held, met = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, bool)], 0, False  # the last row, its key's least node, and whether a row before it has its key
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+            key, node = columns[:2]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            columns = [c[new] for c in columns]
+            key, node = columns[:2]
+            again = np.zeros(len(key) + 1, bool)  # the row before has this one's key
+            again[1:-1] = key[1:] == key[:-1]
+            begins = ~again[:-1]
+            least = node[begins][np.cumsum(begins) - 1]
+            if len(held[0]):
+                least[key == held[0][0]] = least_held
+                again[0] = met
+            out = again[:-1] | again[1:]
+            out[-1] = False
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (*columns, least)], names)
+            held, least_held, met = [c[-1:] for c in columns], least[-1], bool(again[-2])
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held, np.array([least_held], np.int64))], names)
+
+    return keys.select("key", "node", "n", "first").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, n int, first boolean, least long")
+
+
 def _similar_in_blocks(rows: DataFrame) -> DataFrame:
     """``a, b``: a spanning forest of the similar pairs within each group of ``rows(g, block, node, n, root, own)``.
 
@@ -436,9 +540,10 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
 
     ``rows`` have ``_sh_node, _sh_id, text``, and ``unique`` has ``node, fp, id, n``: a node is a distinct set of n, id the
     row that stands for it. Candidates are SimHash links and those who list a rare shingle in common, which no pair
-    escapes; those whose fingerprints are FAR apart are left, and each other one is tested on its whole sets. First each
+    escapes; those whose fingerprints are FAR apart are left, and so are those whose marks differ in more bits than similar
+    sets do in shingles. Each other one is tested on its whole sets, so these are moved for few pairs that fail. First each
     is held against three of the least nodes of its shingles, and the least of its fingerprint; then against those who
-    share a shingle and are not connected yet, so that near-copies are not expanded into pairs.
+    share a shingle and are not connected yet, so that near-copies are not expanded into pairs. ``unique`` also has ``marks``.
     """
     top, of = SIMILAR
 
@@ -470,10 +575,17 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
         for part in (p for batch in batches for p in slices(batch)):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(hashes(t.as_py(), SHINGLE_SIMILAR)).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], ["node", "own"])
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (a, b, n_a, n_b, fp_a, fp_b), k = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]), len(batch)
+            ok = may_be_similar(np.concatenate([n_a, n_b]), np.concatenate([fp_a, fp_b]), batch.column(6).to_pylist() + batch.column(7).to_pylist(), np.arange(k), np.arange(k, 2 * k))
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, b, n_a, n_b)], ["a", "b", "n_a", "n_b"])
+
     def tested(pairs: DataFrame) -> DataFrame:
-        size = lambda c: unique.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"))
+        size = lambda c: unique.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "fp", "marks")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        pairs = cut(pairs.join(size("a"), "a").join(size("b"), "b").where((F.col("n_a") * of >= F.col("n_b") * top) & (F.col("n_b") * of >= F.col("n_a") * top) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR)).drop("fp_a", "fp_b"))
+        pairs = pairs.join(size("a"), "a").join(size("b"), "b").where((F.col("n_a") * of >= F.col("n_b") * top) & (F.col("n_b") * of >= F.col("n_a") * top) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR))
+        pairs = cut(pairs.select("a", "b", "n_a", "n_b", "fp_a", "fp_b", "marks_a", "marks_b").mapInArrow(close, "a long, b long, n_a long, n_b long"))
         need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(unique, "node").select(F.col("id").alias("_sh_id")))
         sets = cut(rows.join(small(need), "_sh_id", "left_semi").select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
         x, y = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
@@ -486,9 +598,7 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
     found = rows.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**SKETCH rows
     table[found["cell"].to_numpy()] = found["n"].to_numpy()
     counts = spark.sparkContext.broadcast(table)
-    keys = rows.select("_sh_node", "text").mapInArrow(listed, "key long, node long, n int, first boolean").repartition("key")  # rows of three numbers, moved once
-    busy = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
-    shared = cut(keys.join(busy.hint("shuffle_hash"), "key").dropDuplicates(["key", "node"]))
+    shared = cut(_shared_keys(rows.select("_sh_node", "text").mapInArrow(listed, "key long, node long, n int, first boolean")))
     counts.destroy()
 
     fps = cut(unique.groupBy("fp").agg(F.min("node").alias("head")))
@@ -516,18 +626,17 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
     busy = cut(left.join(often.where(F.col("k") > SHARED).select("key", "least"), "key").select("node", "n", "root", "least").distinct())
     crowds = components(spark, busy.select(F.col("least").alias("a"), F.col("node").alias("b")), cut)
     members = cut(busy.select("node", "n", "root").distinct().join(crowds.withColumnRenamed("root", "crowd"), "node"))
-    blocks = members.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    g = F.xxhash64("crowd", F.least("block", "with"), F.greatest("block", "with"))
-    meet = members.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("g", g).select("g", "block", "node", "n", "root")
-    need = cut(members.select("node").distinct().join(unique, "node").select(F.col("id").alias("_sh_id")))
+    close_links = cut(_close_in_blocks(_met(members.join(unique.select("node", "fp", "marks"), "node"), CROWD)))
+    # of a crowd those stay whose marks agree with another's, and with them they are smaller crowds
+    members = cut(members.drop("crowd").join(components(spark, close_links, cut).withColumnRenamed("root", "crowd"), "node"))
+    meet = _met(members, BLOCK).select("g", "block", "node", "n", "root")
+    need = cut(members.select("node").join(unique, "node").select(F.col("id").alias("_sh_id")))
     sets = cut(rows.join(small(need), "_sh_id", "left_semi").select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
     third = cut(_similar_in_blocks(meet.join(sets, "node")))
     cut.drop(left, busy, need, sets)
     return first.unionByName(second).unionByName(third)
 
 
-
 def keep_one_similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates by ``similar_links``: of each component one row stays, that of the smallest doc_id (nulls last).
 
@@ -545,13 +654,14 @@ def keep_one_similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
             for t in batch.column(batch.schema.get_field_index("text")):
                 h = hashes(t.as_py(), SHINGLE_SIMILAR)
                 own = np.unique(h)
-                each.append((_signed(h), xxh64_intdigest(own.tobytes(), SEED), len(own)))
+                each.append((_signed(h), xxh64_intdigest(own.tobytes(), SEED), len(own), marks(own)))
             nodes = np.array([x[1] for x in each], np.uint64).view(np.int64)
-            yield batch.append_column("_sh_fp", pa.array([x[0] for x in each], pa.int64())).append_column("_sh_node", pa.array(nodes)).append_column("_sh_n", pa.array([x[2] for x in each], pa.int64()))
+            batch = batch.append_column("_sh_fp", pa.array([x[0] for x in each], pa.int64())).append_column("_sh_node", pa.array(nodes))
+            yield batch.append_column("_sh_n", pa.array([x[2] for x in each], pa.int64())).append_column("_sh_marks", pa.array([x[3] for x in each], pa.binary()))
 
     docs = docs.drop(*HIDDEN)
-    rows = cut(docs.mapInArrow(run, f"{kinds}, _sh_fp long, _sh_node long, _sh_n long").withColumn("_sh_id", F.monotonically_increasing_id()))
-    unique = rows.groupBy(F.col("_sh_node").alias("node")).agg(_least_row(), F.min("_sh_fp").alias("fp"), F.min("_sh_n").alias("n"))
+    rows = cut(docs.mapInArrow(run, f"{kinds}, _sh_fp long, _sh_node long, _sh_n long, _sh_marks binary").withColumn("_sh_id", F.monotonically_increasing_id()))
+    unique = rows.groupBy(F.col("_sh_node").alias("node")).agg(_least_row(), F.min("_sh_fp").alias("fp"), F.min("_sh_n").alias("n"), F.min("_sh_marks").alias("marks"))
     unique = cut(unique.withColumn("id", F.col("least.row")))
     roots = components(spark, similar_links(spark, rows, unique, cut), cut)
     unique = unique.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
