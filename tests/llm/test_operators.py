@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -351,6 +352,27 @@ def test_piece_rows(spark, awkward, awkward_rows, nothing, library, monkeypatch)
     assert pieces.encode_documents(nothing, MODEL).count() == 0 and pieces.count_tokens(spark, nothing, MODEL).count() == 0
 
 
+def test_counting_keeps_no_more_than_it_needs(library, monkeypatch):
+    monkeypatch.setattr(pieces, "COUNTED", 50)
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdefé日▁ #") for _ in range(rng.randrange(1, 9))) for _ in range(20)) for _ in range(60)]
+    batch = lambda columns, names: pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+    found = list(pieces._counted(iter([batch([texts], ["text"])]), model))
+    assert max(map(len, found)) < 50 + 200 and len(found) > 5
+    words = sorted({x for b in found for x in b.column(0).to_pylist()})
+    c, held, n = pieces.codec(model), [], []
+    for b in pieces._sized((batch([words[i : i + 20], [1] * len(words[i : i + 20])], ["piece", "n"]) for i in range(0, len(words), 20)), model):
+        held.append((len(c._pairs), len(c._cache)))
+        n += b.column(2).to_pylist()
+    assert max(x for x, _ in held) < 100 + 20 * 40 and max(x for _, x in held) == 0
+    assert not c._pairs and not c._cache
+    assert n == [len(c.packed(x)) // 4 for x in words]
+    total = dict(zip(words, n, strict=True))
+    assert [sum(map(total.get, c.pattern.findall(c.normalized(t)))) for t in texts] == [len(library.encode(t)) for t in texts]
+
+
 # suffixes
 
 

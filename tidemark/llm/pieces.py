@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, slices
+from .common import TEXT_BYTES, Cut, slices
 
 SPACE = "▁"
 #: Entries after which a worker's caches start afresh; they only save time.
 CACHE = 400_000
+#: Different pre-tokens that a task counts before it passes them on, and half the pairs that it remembers while it counts their tokens.
+COUNTED = 100_000
 #: A pre-token is frequent if it makes up at least this part of all; so there are no more than the inverse of it.
 #: Frequent ones of no more than HOT_CHARS characters have their counts broadcast; the others are joined.
 HOT, HOT_CHARS = 1 / 800_000, 48
@@ -90,6 +92,11 @@ class Codec:
     def normalized(self, text: str) -> str:
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE) if text else ""
 
+    def pre_tokens(self, text: str | None) -> Iterable[str]:
+        """The pre-tokens of a text; those of a long one are not held at once."""
+        text = self.normalized(text or "")
+        return self.pattern.findall(text) if len(text) < TEXT_BYTES // 16 else (m.group() for m in self.pattern.finditer(text))
+
     def merged(self, text: str) -> list[str]:
         """Best-scored merges first, leftmost among equals: the definition, for the few characters of two tokens."""
         parts, get = list(text), self.score.get
@@ -156,6 +163,15 @@ class Codec:
                 self._cache[pre_token] = found
         return found
 
+    def n_ids(self, pre_token: str) -> int:
+        """The number of ids of a pre-token that is asked for once: nothing is kept but pairs."""
+        return sum(1 if t in self.ids or not self.byte else len(t.encode()) for t in self.tokens(pre_token))
+
+    def forget(self, pairs: int = 0) -> None:
+        """Starts the caches afresh if they hold more pairs: a worker outlives its task, and a later one may not need them."""
+        if len(self._pairs) > pairs or not pairs:
+            self._pairs, self._cache = {}, {}
+
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.packed, self.pattern.findall(self.normalized(text or ""))))
 
@@ -224,32 +240,36 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
+def _counted(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+    """``piece, n`` of the texts in the first column, passed on when more than COUNTED are held; a piece may come again."""
+    c, seen = codec(model), Counter()
+    give = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["piece", "n"])
+    for batch in batches:
+        for text in batch.column(0):
+            seen.update(c.pre_tokens(text.as_py()))
+            if len(seen) >= COUNTED:
+                yield give()
+                seen = Counter()
+    if seen:
+        yield give()
+
+
+def _sized(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+    """``piece, n, n_tokens`` of ``piece, n``; each piece comes once, so its ids are not kept."""
+    c = codec(model)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.n_ids(x.as_py()) for x in batch.column(0)], pa.int64())], ["piece", "n", "n_tokens"])
+        c.forget(2 * COUNTED)
+    c.forget()
+
+
 def vocabulary(texts: DataFrame, model: bytes) -> DataFrame:
     """``piece, n, n_tokens``: each distinct pre-token of all texts once, how often it occurs, and its tokens.
 
     Tasks count before they shuffle, and pass on what they have when it exceeds a fixed number of entries.
     """
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, seen = codec(model), Counter()
-        give = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
-        for batch in batches:
-            for at in range(len(batch)):
-                seen.update(c.pattern.findall(c.normalized(batch.column(0)[at].as_py() or "")))
-                if len(seen) >= CACHE:
-                    yield give()
-                    seen.clear()
-        if seen:
-            yield give()
-
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for batch in batches:
-            n = [len(c.packed(x)) // 4 for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["piece", "n", "n_tokens"])
-
-    found = texts.select("text").mapInArrow(counted, "piece string, n long")
-    return found.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(sized, "piece string, n long, n_tokens long")
+    found = texts.select("text").mapInArrow(lambda batches: _counted(batches, model), "piece string, n long")
+    return found.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(lambda batches: _sized(batches, model), "piece string, n long, n_tokens long")
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -272,9 +292,9 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, max_tokens: in
         for batch in batches:
             for part in slices(batch):
                 keys, sizes, sums, ends, rare, often = [], [], [], [0], [], []
-                for text in part.column(1).to_pylist():
-                    total = 0
-                    for piece, n in Counter(c.pattern.findall(c.normalized(text or ""))).items():
+                for value in part.column(1):
+                    text, total = value.as_py(), 0
+                    for piece, n in Counter(c.pre_tokens(text)).items():
                         if (k := known.get(piece)) is not None:
                             total += n * k
                         else:
