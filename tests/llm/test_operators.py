@@ -373,6 +373,33 @@ def test_counting_keeps_no_more_than_it_needs(library, monkeypatch):
     assert [sum(map(total.get, c.pattern.findall(c.normalized(t)))) for t in texts] == [len(library.encode(t)) for t in texts]
 
 
+def test_encoding_keeps_nothing_after_its_task(library, monkeypatch):
+    monkeypatch.setattr(pieces, "COUNTED", 50)
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    rng = random.Random(13)
+    texts = [" ".join("".join(rng.choice("abcdefé日▁ #") for _ in range(rng.randrange(1, 9))) for _ in range(20)) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["doc_id", "text"]) for i, t in enumerate(texts)]
+    c, held, ids = pieces.codec(model), [], []
+    for b in pieces._encoded(iter(batches), model):
+        held.append(len(c._pairs))
+        ids += b.column(1).to_pylist()
+    assert max(held) < 100 + 20 * 40 and not c._pairs and not c._cache
+    assert ids == [library.encode(t) for t in texts]
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    session = spark.newSession()
+    rows = session.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100_000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    Cut(session, "test")
+    most = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert 40e6 < sum(most) < 44e6 and max(most) <= common.BATCH_BYTES + 200_000
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+    Cut(session, "test")
+    assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) <= 1_200_000
+
+
 # suffixes
 
 

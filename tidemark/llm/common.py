@@ -17,6 +17,8 @@ WS = "\\x20\\x09-\\x0D"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that a Python worker holds decoded at a time, a longer text alone.
 TEXT_BYTES = 1 << 21
+#: Bytes of rows that Spark sends to a Python worker at a time, unless its user has set that; else 10,000 rows of any size are one batch.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Edges that a task joins in memory at a time.
 EDGES = 200_000
 
@@ -40,6 +42,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on batches for Python are cut by their bytes too, so that neither an executor's buffers nor its workers follow the length of rows."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Cut:
     """Writes intermediate tables to the shared folder, so that neither a lost executor nor a second use recomputes them.
 
@@ -48,6 +56,7 @@ class Cut:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         p, fs = _path(spark, self.root)
         fs.mkdirs(p)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXT_BYTES, Cut, slices
+from .common import TEXT_BYTES, Cut, bounded, slices
 
 SPACE = "▁"
 #: Entries after which a worker's caches start afresh; they only save time.
@@ -214,30 +214,34 @@ def codec(model: bytes) -> Codec:
     return Codec(model)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+    """``doc_id, ids, decoded`` of ``doc_id, text``; what a task has met goes with it."""
+    c = codec(model)
+    for batch in batches:
+        for part in slices(batch):
+            ids, ends, texts = [], [0], []
+            for text in part.column(1).to_pylist():
+                raw = c.encode(text)
+                ids.append(raw)
+                ends.append(ends[-1] + len(raw) // 4)
+                texts.append(c.decode(memoryview(raw).cast("i").tolist()))
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(ids))])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            c.forget(2 * COUNTED)
+    c.forget()
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded`` of each whole text: the model's ids, and the text that they decode to.
 
     path: of the model file, read on the driver. A null text is as an empty one, which has no ids. Rows that
-    repeat each give a row, an empty table gives none; other columns are ignored. No shuffle; a worker keeps the
+    repeat each give a row, an empty table gives none; other columns are ignored. No shuffle; a task keeps the
     ids of pre-tokens it has met, up to a fixed number.
     """
     model = Path(path).read_bytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for batch in batches:
-            for part in slices(batch):
-                ids, ends, texts = [], [0], []
-                for text in part.column(1).to_pylist():
-                    raw = c.encode(text)
-                    ids.append(raw)
-                    ends.append(ends[-1] + len(raw) // 4)
-                    texts.append(c.decode(memoryview(raw).cast("i").tolist()))
-                values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(ids))])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
-
+    bounded(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, model), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def _counted(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded, slices
 
 #: A value in a credential's place is a secret if guessing it takes 10**MIN_COST tries or more.
 MIN_COST = 9.0
@@ -271,6 +271,7 @@ def redact(docs: DataFrame, path: str | None = None, min_cost: float = MIN_COST)
     gives none. ``n_chars``, if there, follows the new text. Texts go through Python in parts of bounded size.
     """
     words = _words(docs, path)
+    bounded(docs.sparkSession)
 
     def clean(text: str | None) -> str | None:
         out, last = [], 0
