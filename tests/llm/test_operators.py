@@ -143,6 +143,25 @@ def test_whole_sets_are_moved_only_where_marks_agree(spark, monkeypatch):
     assert moved == [0]
 
 
+def test_texts_of_rows_that_stay_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    docs = spark.createDataFrame([(i, f"text {i % 7} of some words that are its own {i % 7}") for i in range(20)], "doc_id long, text string")
+    for kept in (simhash.keep_one_similar(spark, docs), simhash.keep_one(spark, docs, 9)):
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "bitmap_construct_agg" in plan and "LeftSemi" not in plan
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(7))
+
+
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_rows_are_chosen_by_bits(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BITMAPS_BYTES", most)
+    rows = spark.range(0, 150_000, 1, 3).repartition(2).select("id", F.monotonically_increasing_id().alias("_sh_id"))
+    rows = Cut(spark, "bits")(rows.unionByName(rows.where("id < 0")))
+    ids = rows.where("id % 3 = 0 OR id > 149990").select("_sh_id")
+    assert {r["id"] for r in simhash._chosen(rows, ids).collect()} == {i for i in range(150_000) if i % 3 == 0 or i > 149_990}
+    assert simhash._chosen(rows, ids.limit(0)).count() == 0 == simhash._chosen(rows.limit(0), ids).count()
+
+
 @pytest.mark.parametrize(("key_pairs", "leaf", "parts"), [(simhash.KEY_PAIRS, simhash.LEAF, (3,)), (20, simhash.LEAF, (3,)), (20, 6, (3,)), (1, 1, (3,)), (simhash.KEY_PAIRS, 6, (2,)), (20, 6, (2,)), (1, 2, (4,))])
 def test_simhash_links_are_all_found(spark, monkeypatch, key_pairs, leaf, parts):
     for name, value in (("KEY_PAIRS", key_pairs), ("LEAF", leaf), ("PARTS", parts)):

@@ -31,6 +31,10 @@ HIDDEN = ("_sh_fp", "_sh_id", "_sh_node", "_sh_n", "_sh_marks")
 SHARED, BLOCK, CROWD = 48, 256, 2048
 #: Nodes that a task remembers having listed; those beyond are listed again, which changes nothing.
 LISTED = 1 << 18
+#: Bits by which ``monotonically_increasing_id`` numbers the rows of a partition.
+ROW_BITS = 33
+#: Rows of one bitmap of rows that are chosen, and what all bitmaps may have in bytes to be sent to every executor.
+BITMAP_ROWS, BITMAPS_BYTES = 1 << 15, 32 << 20
 #: Where no contract says otherwise, near-duplicates have a Jaccard similarity of 4/5 or more by five-word shingles.
 SHINGLE_SIMILAR, SIMILAR = 5, (4, 5)
 #: Bits that fingerprints of such texts may differ in: 10 are expected at the least similarity, and this is five standard deviations more.
@@ -367,7 +371,23 @@ def _least_row() -> F.Column:
 def _rows_that_stay(rows: DataFrame, unique: DataFrame, cut: Cut) -> DataFrame:
     """Of the rows of each root of ``unique(root, least)`` the least; texts are moved once, or not at all if few rows stay."""
     stays = cut(unique.groupBy("root").agg(F.min("least").alias("s")).select(F.col("s.row").alias("_sh_id")))
-    return rows.join(small(stays), "_sh_id", "left_semi")
+    return _chosen(rows, stays)
+
+
+def _chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose _sh_id is among the stored ``ids(_sh_id)``. Texts stay where they are: executors are sent a bit for each row, up to BITMAPS_BYTES."""
+    part, row = F.shiftright("_sh_id", ROW_BITS), F.col("_sh_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    span, parts = rows.agg(F.max(row) + 1, F.max(part) + 1).head()
+    if not span or span * parts > 8 * BITMAPS_BYTES:
+        return rows.join(small(ids), "_sh_id", "left_semi")
+    place = part * F.lit(span) + row
+    at = F.shiftright(place, BITMAP_ROWS.bit_length() - 1)
+    bit = place.bitwiseAND(F.lit(BITMAP_ROWS - 1))
+    bitmaps = ids.select(at.alias("_sh_at"), bit.alias("bit")).groupBy("_sh_at").agg(F.bitmap_construct_agg("bit").alias("_sh_bits"))
+    byte = F.conv(F.hex(F.substring("_sh_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    chosen = F.expr("shiftright(_sh_byte, cast(_sh_bit & 7 AS int)) & 1") == 1
+    out = rows.withColumn("_sh_at", at).join(F.broadcast(bitmaps), "_sh_at").withColumns({"_sh_byte": byte, "_sh_bit": bit})
+    return out.where(chosen).select(*rows.columns)
 
 
 def rarest(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -581,13 +601,18 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
             ok = may_be_similar(np.concatenate([n_a, n_b]), np.concatenate([fp_a, fp_b]), batch.column(6).to_pylist() + batch.column(7).to_pylist(), np.arange(k), np.arange(k, 2 * k))
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, b, n_a, n_b)], ["a", "b", "n_a", "n_b"])
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        size = lambda c: unique.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "fp", "marks")))
+    def sized(pairs: DataFrame) -> DataFrame:
+        size = lambda c: unique.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "fp")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        pairs = pairs.join(size("a"), "a").join(size("b"), "b").where((F.col("n_a") * of >= F.col("n_b") * top) & (F.col("n_b") * of >= F.col("n_a") * top) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR))
+        return pairs.join(size("a"), "a").join(size("b"), "b").where((F.col("n_a") * of >= F.col("n_b") * top) & (F.col("n_b") * of >= F.col("n_a") * top) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Of different pairs ``a, b, n_a, n_b, fp_a, fp_b`` the similar ones; marks are moved for these pairs alone."""
+        for c in "ab":
+            pairs = pairs.join(unique.select(F.col("node").alias(c), F.col("marks").alias(f"marks_{c}")), c)
         pairs = cut(pairs.select("a", "b", "n_a", "n_b", "fp_a", "fp_b", "marks_a", "marks_b").mapInArrow(close, "a long, b long, n_a long, n_b long"))
         need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(unique, "node").select(F.col("id").alias("_sh_id")))
-        sets = cut(rows.join(small(need), "_sh_id", "left_semi").select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
+        sets = cut(_chosen(rows, need).select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
         x, y = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
         common = F.size(F.array_intersect("own_a", "own_b"))
         out = cut(pairs.join(x, "a").join(y, "b").where(common * (top + of) >= (F.col("n_a") + F.col("n_b")) * top).select("a", "b"))
@@ -607,7 +632,7 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
     near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
     same = unique.join(fps, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
     few = shared.groupBy("node").agg(F.array(F.min("least"), F.max("least"), F.min_by("least", "key")).alias("some"))
-    first = tested(near.unionByName(same).unionByName(few.select(F.explode(F.array_distinct("some")).alias("a"), F.col("node").alias("b"))))
+    first = tested(sized(near.unionByName(same).unionByName(few.select(F.explode(F.array_distinct("some")).alias("a"), F.col("node").alias("b")))))
     roots = components(spark, first, cut)
     rooted = cut(shared.join(roots, "node", "left").select("key", "node", "n", "first", F.coalesce("root", "node").alias("root")))
     cut.drop(shared)
@@ -621,7 +646,8 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
     smaller = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & smaller & (F.col("x.n") * of >= F.col("y.n") * top)
     apart &= F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR
-    second = tested(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    met = x.join(y, apart).selectExpr("x.node AS a", "y.node AS b", "bigint(x.n) AS n_a", "bigint(y.n) AS n_b", "x.fp AS fp_a", "y.fp AS fp_b")
+    second = tested(met.distinct())
     # many, and those who share other shingles with them, meet in blocks: each pair once, whatever they share
     busy = cut(left.join(often.where(F.col("k") > SHARED).select("key", "least"), "key").select("node", "n", "root", "least").distinct())
     crowds = components(spark, busy.select(F.col("least").alias("a"), F.col("node").alias("b")), cut)
@@ -631,7 +657,7 @@ def similar_links(spark: SparkSession, rows: DataFrame, unique: DataFrame, cut:
     members = cut(members.drop("crowd").join(components(spark, close_links, cut).withColumnRenamed("root", "crowd"), "node"))
     meet = _met(members, BLOCK).select("g", "block", "node", "n", "root")
     need = cut(members.select("node").join(unique, "node").select(F.col("id").alias("_sh_id")))
-    sets = cut(rows.join(small(need), "_sh_id", "left_semi").select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
+    sets = cut(_chosen(rows, need).select("_sh_node", "text").mapInArrow(whole, "node long, own array<long>"))
     third = cut(_similar_in_blocks(meet.join(sets, "node")))
     cut.drop(left, busy, need, sets)
     return first.unionByName(second).unionByName(third)
