@@ -6,6 +6,7 @@ import pytest
 
 from tests.oracle import DATA, assert_same, connection
 from tidemark import catalog
+from tidemark.streaming import running, stateful
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
@@ -21,6 +22,15 @@ def test_gives_rows(spark, name):
     assert df.columns and df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["str4_stream_repeat_zip", "str6_stream_sma", "str6_stream_lag", "str6_stream_width_sum", "str8_late_rows", "str11_state_is_given_up"])
+def test_series_of_a_stream_share_states(spark, monkeypatch, name):
+    monkeypatch.setattr(stateful, "GROUPS", 2, raising=False)
+    results, stepped = [], running.stepped
+    monkeypatch.setattr(running, "stepped", lambda *a: results.append(stepped(*a)) or results[-1])
+    assert_same(spark, QUERIES[name], SQL[name])
+    assert spark.read.format("statestore").load(results[0]._state_path).count() <= 2
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 

@@ -291,6 +291,17 @@ def test_late_rows_fail_a_stream_that_says_so(spark):
     assert sorted((r["k"], r["v"]) for r in kept.collect()) == [(5, 1.0), (6, 2.0)]
 
 
+def test_streams_of_awkward_series(spark, monkeypatch):
+    from tidemark.streaming import running, stateful
+
+    monkeypatch.setattr(stateful, "GROUPS", 1, raising=False)
+    make = lambda rows, kind: spark.createDataFrame(rows, f"p {kind}, k long, v double")
+    for kind, x in (("long", 2**62 + 1), ("string", "a"), ("double", 0.1), ("binary", b"\xff")):
+        steps = [make([(x, 5, 1.0), (None, 4, 2.0), (x, 5, 1.0)], kind), make([(None, 3, 3.0), (None, 6, 4.0), (x, 7, 3.0)], kind)]
+        means = running.stepped(spark, steps, lambda live: stateful.moving_mean(live, "p", 2), "awkward")
+        assert sorted(map(repr, map(tuple, means.collect()))) == sorted(map(repr, [(x, 7, 2.0), (None, 6, 3.0)]))
+
+
 def test_answers_that_came_too_early_fail(spark):
     from tidemark.streaming import running, stateful
 

@@ -6,40 +6,87 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Series are dealt by hash into so many groups, each with one state for all its series: Python is called for a group, not for a series.
+GROUPS = 1024
+#: Types of a part that are the same again when read from their text; others are written as JSON.
+_PLAIN = (T.StringType, T.IntegralType, T.DecimalType, T.BooleanType, T.DateType)
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+_FIRST = -(2**63)
+
 
 class OutOfOrderError(ValueError):
     """A row at or before the last key of its series, where such rows are to fail the query."""
 
 
-def _in_order(chunks: Iterator[pd.DataFrame], last: float, late: str = "drop") -> pd.DataFrame:
-    """A trigger's rows in key order, without those that a series would refuse: at or before its last key.
+def _with_state(rows: DataFrame, part: str, step, shape: str, state: str, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
+    """``part`` and the columns of ``shape``: what ``step`` gives for each group's rows, whose series are told by ``_part``, a text or null."""
+    kind, name = rows.schema[part].dataType, F.col(part)
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        name = name + F.lit(0).cast(kind)  # one zero
+    plain = isinstance(kind, _PLAIN)
+    text = name.cast("string") if plain else F.when(name.isNotNull(), F.to_json(F.struct(name.alias("p")), _JSON))
+    rows = rows.withColumn("_part", text).withColumn("_group", F.pmod(F.xxhash64("_part"), F.lit(GROUPS)))
+    out = rows.drop(part).groupBy("_group").applyInPandasWithState(step, f"_part string, {shape}", f"parts array<string>, {state}", "append", timeout)
+    back = F.col("_part").cast(kind) if plain else F.from_json("_part", T.StructType([T.StructField("p", kind)]), _JSON)["p"]
+    return out.select(back.alias(part), *out.columns[1:])
+
+
+class _Rows:
+    """A trigger's rows of a group, in order of series and key; series are numbered, those of the state first.
 
-    late: "drop" leaves them out (``late_rows`` reports them), "fail" ends the query.
+    ``before`` is the last key that a row's series had before it, and ``refused`` says which rows a series would refuse.
     """
-    rows = pd.concat(list(chunks)).sort_values("k", kind="stable")
-    refused = rows.k.duplicated() | (rows.k <= last)
-    if late == "fail" and refused.any():
-        raise OutOfOrderError(f"{int(refused.sum())} rows at or before the last key {last}")
-    return rows[~refused]
+
+    def __init__(self, chunks: Iterator[pd.DataFrame], parts: list, lasts: list, *also: str):
+        rows = pd.concat(list(chunks), ignore_index=True)
+        code, self.parts = pd.factorize(np.array([*parts, *rows["_part"].where(rows["_part"].notna(), None)], object), use_na_sentinel=False)
+        code, k = code[len(parts) :], rows["k"].to_numpy("int64")
+        self.parts = [x if isinstance(x, str) else None for x in self.parts]
+        order = np.lexsort((*(rows[c].to_numpy() != "r" for c in also), k, code))
+        self.frame, self.code, self.k, self.v = rows.take(order), code[order], k[order], rows["v"].to_numpy("float64")[order]
+        self.lasts = np.full(len(self.parts), _FIRST)
+        self.lasts[: len(parts)] = lasts
+        same, last = np.zeros(len(k), bool), self.lasts[self.code]
+        same[1:] = self.code[1:] == self.code[:-1]
+        self.before = np.where(same, np.maximum(np.roll(self.k, 1), last), last)
+        self.refused = self.k <= self.before
+        np.maximum.at(self.lasts, self.code, self.k)
+
+    def accepted(self, late: str = "drop") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Series, keys and values of the rows that are not refused. late: "drop" leaves the others out (``late_rows`` reports them), "fail" ends the query."""
+        if late == "fail" and self.refused.any():
+            raise OutOfOrderError(f"{int(self.refused.sum())} rows at or before the last key {int(self.before[self.refused][0])}")
+        return tuple(x[~self.refused] for x in (self.code, self.k, self.v))
+
+    def names(self, code: np.ndarray) -> np.ndarray:
+        return np.array(self.parts, object)[code]
+
+
+def _begins(code: np.ndarray) -> np.ndarray:
+    """Of each row in order of series the place of its series' first row."""
+    return np.searchsorted(code, code)
+
+
+def _ends(code: np.ndarray) -> np.ndarray:
+    return np.searchsorted(code, code, side="right")
 
 
 def late_rows(rows: DataFrame, part: str) -> DataFrame:
     """``part, k, v, last``: the rows that the other operators leave out, with the last key that their series had."""
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -(2**63)
-        own = pd.concat(list(chunks)).sort_values("k", kind="stable")
-        before = own.k.cummax().shift(1).fillna(last).clip(lower=last).astype("int64")
-        refused = own.k <= before
-        state.update((max(last, int(own.k.max())),))
-        yield pd.DataFrame({part: own[part], "k": own.k, "v": own.v, "last": before})[refused]
+        own = _Rows(chunks, *(state.get if state.exists else ([], [])))
+        state.update((own.parts, own.lasts.tolist()))
+        late = own.refused
+        yield pd.DataFrame({"_part": own.names(own.code[late]), "k": own.k[late], "v": own.v[late], "last": own.before[late]})
 
-    shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, v double, last long"
-    return rows.groupBy(part).applyInPandasWithState(step, shape, "last long", "append", GroupStateTimeout.NoTimeout)
+    return _with_state(rows, part, step, "k long, v double, last long", "lasts array<long>")
 
 
 def versioned(rows: DataFrame, part: str) -> DataFrame:
@@ -64,63 +111,98 @@ def versioned(rows: DataFrame, part: str) -> DataFrame:
 def retained_sum(rows: DataFrame, part: str, time: str, width: int, late: str) -> DataFrame:
     """``part, k, v``: at each row the sum over the rows at most ``width`` before it.
 
-    The state of a key is the rows that a later one may still need. It is given up when the watermark, ``late``
+    What is kept of a series are the rows that a later one may still need. They are given up when the watermark, ``late``
     behind the newest row of all, has passed its last row by the width: no row that may come could reach it.
     """
 
+    def keep(state: GroupState, parts: list, code: np.ndarray, k: np.ndarray, v: np.ndarray, came: np.ndarray) -> None:
+        """Stores the series that came or are not passed by the watermark."""
+        now = state.getCurrentWatermarkMs()
+        last = np.full(len(parts), _FIRST)
+        last[code] = k  # in order of keys
+        due = (last + width) // 1000 + 1
+        left = came | (due >= now)
+        if not left.any():
+            state.remove()
+            return
+        stay = left[code]
+        n = np.bincount(code[stay], minlength=len(parts))[left]
+        state.update(([x for x, y in zip(parts, left, strict=True) if y], n.tolist(), k[stay].tolist(), v[stay].tolist()))
+        state.setTimeoutTimestamp(max(int(due[left].min()), now + 1))
+
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts, n, keys, values = state.get if state.exists else ([], [], [], [])
+        held, keys, values = np.repeat(np.arange(len(parts)), n), np.array(keys, np.int64), np.array(values, float)
         if state.hasTimedOut:
-            state.remove()
+            keep(state, parts, held, keys, values, np.zeros(len(parts), bool))
             return
-        keys, values = state.get if state.exists else ([], [])
-        own = _in_order(chunks, keys[-1] if keys else -(2**63))
-        k, v = np.array([*keys, *own.k], np.int64), np.array([*values, *own.v], float)
-        first = np.searchsorted(k, k - width)
-        total = np.array([v[a : i + 1].sum() for i, a in enumerate(first)])
-        if len(k):
-            keep = np.searchsorted(k, k[-1] - width)
-            state.update((k[keep:].tolist(), v[keep:].tolist()))
-            state.setTimeoutTimestamp(max(int(k[-1] + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({part: [key[0]] * len(own), "k": k[len(keys) :], "v": total[len(keys) :]})
+        own = _Rows(chunks, parts, keys[np.cumsum(n, dtype=np.int64) - 1])
+        code, k, v = own.accepted()
+        came = np.isin(np.arange(len(own.parts)), own.code)
+        code, k, v, new = (np.concatenate(x) for x in ((held, code), (keys, k), (values, v), (np.zeros(len(held), bool), np.ones(len(code), bool))))
+        order = np.argsort(code, kind="stable")
+        code, k, v, new = code[order], k[order], v[order], new[order]
+        # the first row of its series that is not further back: a probe for each row, sorted before rows of its key
+        size = len(k)
+        both = np.lexsort((np.repeat([0, 1], size), np.concatenate([k - width, k]), np.concatenate([code, code])))
+        first = np.empty(size, np.int64)
+        first[both[both < size]] = np.cumsum(both >= size)[both < size]
+        total = np.add.reduceat(np.append(v, 0.0), np.stack([first, np.arange(1, size + 1)], 1).ravel())[::2]
+        need = np.arange(size) >= first[_ends(code) - 1]
+        keep(state, own.parts, code[need], k[need], v[need], came)
+        yield pd.DataFrame({"_part": own.names(code[new]), "k": k[new], "v": total[new]})
+
+    return _with_state(rows.withWatermark(time, late), part, step, "k long, v double", "ns array<int>, keys array<long>, vs array<double>", GroupStateTimeout.EventTimeTimeout)
+
+
+class _Last(BaseIndexer):
+    """Windows of the last ``window_size`` rows from ``begins`` on."""
 
-    shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, v double"
-    return rows.withWatermark(time, late).groupBy(part).applyInPandasWithState(step, shape, "keys array<long>, vs array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        at = np.arange(num_values, dtype=np.int64)
+        return np.maximum(at + 1 - self.window_size, self.begins), at + 1
 
 
 def moving_mean(rows: DataFrame, part: str, count: int, incomplete: bool = False, late: str = "drop") -> DataFrame:
-    """``part, k, v``: mean of the last ``count`` values; the state of a key is that many values and the last key."""
+    """``part, k, v``: mean of the last ``count`` values; what is kept of a series is that many values and the last key."""
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (-(2**63), [])
-        rows = _in_order(chunks, last, late)
-        values = pd.Series([*held, *rows.v], dtype=float)
-        means = values.rolling(count, min_periods=1 if incomplete else count).mean().iloc[len(held) :].to_numpy()
-        state.update((int(rows.k.iloc[-1]) if len(rows) else last, values.iloc[len(values) - count + 1 :].tolist() if count > 1 and len(values) >= count else values.tolist() if count > 1 else []))
-        yield pd.DataFrame({part: [key[0]] * len(rows), "k": rows.k.to_numpy(), "v": means}).dropna(subset=["v"])
+        parts, lasts, n, held = state.get if state.exists else ([], [], [], [])
+        own = _Rows(chunks, parts, lasts)
+        code, k, v = own.accepted(late)
+        before = np.repeat(np.arange(len(parts)), n)
+        order = np.argsort(np.concatenate([before, code]), kind="stable")
+        new, all_code, values = order >= len(before), np.concatenate([before, code])[order], np.concatenate([np.array(held, float), v])[order]
+        windows = _Last(window_size=count, begins=_begins(all_code))
+        means = pd.Series(values).rolling(windows, min_periods=1 if incomplete else count).mean().to_numpy()[new]
+        need = np.arange(len(values)) >= _ends(all_code) - (count - 1)
+        state.update((own.parts, own.lasts.tolist(), np.bincount(all_code[need], minlength=len(own.parts)).tolist(), values[need].tolist()))
+        yield pd.DataFrame({"_part": own.names(code), "k": k, "v": means})[~np.isnan(means)]
 
-    shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, v double"
-    return rows.groupBy(part).applyInPandasWithState(step, shape, "last long, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _with_state(rows, part, step, "k long, v double", "lasts array<long>, ns array<int>, held array<double>")
 
 
 def lagged(rows: DataFrame, part: str) -> DataFrame:
     """``part, k, v, lag_k, lag_v``: each row with the one before it."""
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get if state.exists else None
-        rows = _in_order(chunks, before[0] if before else -(2**63))
-        k, v = rows.k.tolist(), rows.v.tolist()
-        lag = [*([before] if before else []), *zip(k, v, strict=True)]
-        if lag:
-            state.update((int(lag[-1][0]), float(lag[-1][1])))
-        at = 0 if before else 1
-        yield pd.DataFrame({part: [key[0]] * len(k[at:]), "k": k[at:], "v": v[at:], "lag_k": [int(x) for x, _ in lag[:-1]], "lag_v": [float(x) for _, x in lag[:-1]]})
+        parts, lasts, values = state.get if state.exists else ([], [], [])
+        own = _Rows(chunks, parts, lasts)
+        code, k, v = own.accepted()
+        code, k, v = np.concatenate([np.arange(len(parts)), code]), np.concatenate([np.array(lasts, np.int64), k]), np.concatenate([np.array(values, float), v])
+        order = np.argsort(code, kind="stable")
+        code, k, v = code[order], k[order], v[order]
+        at = np.flatnonzero(code[1:] == code[:-1]) + 1
+        # a series whose rows were all refused has no row yet
+        last = np.flatnonzero(np.append(code[1:] != code[:-1], True)) if len(code) else np.zeros(0, int)
+        state.update(([own.parts[c] for c in code[last]], k[last].tolist(), v[last].tolist()))
+        yield pd.DataFrame({"_part": own.names(code[at]), "k": k[at], "v": v[at], "lag_k": k[at - 1], "lag_v": v[at - 1]})
 
-    shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, v double, lag_k long, lag_v double"
-    return rows.groupBy(part).applyInPandasWithState(step, shape, "k long, v double", "append", GroupStateTimeout.NoTimeout)
+    return _with_state(rows, part, step, "k long, v double, lag_k long, lag_v double", "lasts array<long>, vs array<double>")
 
 
 def carried(rows: DataFrame, part: str) -> DataFrame:
-    """``part, k, l, r``: rows with ``side`` 'l', each with the last value of side 'r' at or before it; one value of state for each key.
+    """``part, k, l, r``: rows with ``side`` 'l', each with the last value of side 'r' at or before it; one value is kept of each series.
 
     A trigger's rows are taken in key order, sides of one key together, so a stream whose triggers follow key order
     gives what the batch join gives. A row of side 'r' behind the last key that was answered came too late for it:
@@ -128,21 +210,26 @@ def carried(rows: DataFrame, part: str) -> DataFrame:
     """
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, answered = state.get if state.exists else (None, -(2**63))
-        rows = pd.concat(list(chunks)).sort_values(["k", "side"], ascending=[True, False], kind="stable")
-        if (rows.k[rows.side == "r"] <= answered).any():
-            raise OutOfOrderError(f"a row of side 'r' at or before {answered}, which has been answered")
-        answered, out = max([answered, *rows.k[rows.side == "l"].tolist()]), []
-        for k, v, side in zip(rows.k, rows.v, rows.side, strict=True):
-            if side == "r":
-                held = float(v)
-            elif held is not None:
-                out.append((key[0], int(k), float(v), held))
-        state.update((held, int(answered)))
-        yield pd.DataFrame(out, columns=[part, "k", "l", "r"])
-
-    shape = f"{part} {rows.schema[part].dataType.simpleString()}, k long, l double, r double"
-    return rows.groupBy(part).applyInPandasWithState(step, shape, "held double, answered long", "append", GroupStateTimeout.NoTimeout)
+        parts, answered, has, held = state.get if state.exists else ([], [], [], [])
+        own = _Rows(chunks, parts, answered, "side")
+        code, size, more = own.code, len(own.parts), len(own.parts) - len(parts)
+        answered, has, held = np.array([*answered, *[_FIRST] * more], np.int64), np.array([*has, *[False] * more], bool), np.array([*held, *[0.0] * more], float)
+        side = own.frame["side"].to_numpy()
+        right, left = side == "r", side == "l"
+        if (early := right & (own.k <= answered[code])).any():
+            raise OutOfOrderError(f"a row of side 'r' at or before {answered[code][early][0]}, which has been answered")
+        np.maximum.at(answered, code[left], own.k[left])
+        at = np.maximum.accumulate(np.where(right, np.arange(len(code)), -1))
+        here = at >= _begins(code)
+        r = np.where(here, own.v[at], held[code])
+        out = ~right & (here | has[code])
+        last = np.flatnonzero(np.append(code[1:] != code[:-1], True))
+        held[code[last]] = r[last]
+        has[code[last]] |= here[last]
+        state.update((own.parts, answered.tolist(), has.tolist(), held.tolist()))
+        yield pd.DataFrame({"_part": own.names(code[out]), "k": own.k[out], "l": own.v[out], "r": r[out]})
+
+    return _with_state(rows, part, step, "k long, l double, r double", "answered array<long>, has array<boolean>, held array<double>")
 
 
 def tumbling_bars(rows: DataFrame, part: str, time: str, price: str, width: str, late: str) -> DataFrame:
