@@ -369,7 +369,7 @@ def _least_row() -> F.Column:
 
 
 def _rows_that_stay(rows: DataFrame, unique: DataFrame, cut: Cut) -> DataFrame:
-    """Of the rows of each root of ``unique(root, least)`` the least; texts are moved once, or not at all if few rows stay."""
+    """Of the rows of each root of ``unique(root, least)`` the least; texts are moved only if the table is too large for ``_chosen``'s bitmaps."""
     stays = cut(unique.groupBy("root").agg(F.min("least").alias("s")).select(F.col("s.row").alias("_sh_id")))
     return _chosen(rows, stays)
 
